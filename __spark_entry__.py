@@ -30,8 +30,8 @@ LATIN_LETTERS = "kyihrzt0123456789"
 ARABIC_LETTERS = "كيىهر" + "\N{ZERO WIDTH NON-JOINER}" + "\N{ARABIC TATWEEL}" + "٠١٢٣٤۵۶۷۸۹"
 
 
-def _documents(spark: SparkSession, sf_dir: str, **choice: str) -> DataFrame:
-    return read_corpus(spark, f"{sf_dir}/documents.parquet", **choice)
+def _documents(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return read_corpus(spark, f"{sf_dir}/documents.parquet", **options)
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,9 @@ def _websites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arabic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).withColumn("text", F.translate("text", LATIN_LETTERS, ARABIC_LETTERS))
+    # Normalising is all processor work, and a small table may come as one split.
+    documents = _documents(spark, sf_dir, min_partitions=spark.sparkContext.defaultParallelism)
+    return documents.select("doc_id", "text").withColumn("text", F.translate("text", LATIN_LETTERS, ARABIC_LETTERS))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -26,6 +26,11 @@ def word_count(text: Column | str) -> Column:
     return F.array_size(tokens(text))
 
 
+def has_words(text: Column | str) -> Column:
+    """Whether a text has any word; stops at the first one."""
+    return _col(text).rlike(WORD)
+
+
 def raw_terms(text: Column | str) -> Column:
     """The terms a word cloud counts, before trimming and merging."""
     return F.regexp_extract_all(_col(text), F.lit(TERM), 0)

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Optional scheme, then everything up to the last @ of the authority, then the host.
-AUTHORITY_HOST = r"^\s*(?:(?:[A-Za-z0-9+.-]+:)?//)?(?:[^/?#]*@)?([^/?#:@]*)"
+# Optional scheme, then everything up to the last @ of the authority, then the host:
+# not in brackets (an IPv6 literal), and without dots around it. Nothing before the
+# host may be given back to find another match.
+AUTHORITY_HOST = (
+    r"^\s*+(?:(?:[A-Za-z0-9+.-]++:)?+//)?+(?:[^/?#]*@)?+\.*+"
+    r"([^/?#:@\s\[](?:[^/?#:@\s]*[^/?#:@\s.])?)"
+)
 
 # The simpler rule: what follows "://", as far as word characters, dots and hyphens go.
 HOST_AFTER_SCHEME = r"://([\p{L}\p{N}_.-]+)"
@@ -18,9 +23,14 @@ def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def _first_match(text: Column, pattern: str) -> Column:
+    """First group of the first match, NULL without one; runs the pattern once."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), 1), F.lit(0))
+
+
 def host_name(url: Column | str) -> Column:
     """Host by the simple pattern, subdomains kept; NULL when nothing matches."""
-    return F.nullif(F.lower(F.regexp_extract(_col(url), HOST_AFTER_SCHEME, 1)), F.lit(""))
+    return F.lower(_first_match(_col(url), HOST_AFTER_SCHEME))
 
 
 def host_of(url: Column | str) -> Column:
@@ -28,8 +38,7 @@ def host_of(url: Column | str) -> Column:
 
     NULL when there is none, and for IPv6 literals, which belong to no domain.
     """
-    host = F.rtrim(F.trim(F.regexp_extract(_col(url), AUTHORITY_HOST, 1)), F.lit("."))
-    return F.lower(F.when(~host.startswith("["), F.nullif(host, F.lit(""))))
+    return F.lower(_first_match(_col(url), AUTHORITY_HOST))
 
 
 def website_of(host: Column, suffix_length: Column, tidy: bool = False) -> Column:

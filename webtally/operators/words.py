@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from webtally.functions.tokens import raw_terms, tokens, word_count
+from webtally.functions.tokens import has_words, raw_terms, tokens, word_count
 
 
 def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -53,7 +53,7 @@ def tokens_head(df: DataFrame, key: str, n: int = 5, text: str = "text") -> Data
     words = F.col("_words")
     return (
         df.select(key, text)
-        .where(word_count(text) > 0)
+        .where(has_words(text))
         .orderBy(key)
         .limit(n)
         .select(key, tokens(text).alias("_words"))
@@ -66,8 +66,8 @@ def tokens_head(df: DataFrame, key: str, n: int = 5, text: str = "text") -> Data
 def word_count_hist(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows per length in words: ``n_words, n_rows``. Null texts are left out."""
     return (
-        df.select(word_count(text).alias("n_words"))
-        .where(F.col("n_words").isNotNull())
+        df.where(F.col(text).isNotNull())
+        .select(word_count(text).alias("n_words"))
         .groupBy("n_words")
         .agg(F.count("*").alias("n_rows"))
     )
@@ -103,24 +103,31 @@ def term_weights(
     else works on the vocabulary.
     """
     raw = df.select(F.explode(raw_terms(text)).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
-    form = F.regexp_replace("raw", "'[sS]$", "")
-    forms = raw.select(form.alias("form"), "n").where(~F.col("form").rlike(r"^\p{Nd}+$"))
-    forms = forms.withColumn("lower", F.lower("form"))
+    forms = raw.select(F.regexp_replace("raw", "'[sS]$", "").alias("form"), "n").withColumn("lower", F.lower("form"))
+    dropped = F.col("form").rlike(r"^\p{Nd}+$")
     if stop_words:
-        forms = forms.where(~F.col("lower").isin([w.lower() for w in stop_words]))
+        dropped |= F.col("lower").isin([w.lower() for w in stop_words])
 
     # A plural and its singular share their base. Without the singular in its group
     # a base stands for the plural alone, so a base is always exactly one term.
     ends_in_s = F.col("lower").endswith("s") & ~F.col("lower").endswith("ss")
-    forms = forms.withColumn("base", F.when(ends_in_s, F.expr("left(lower, length(lower) - 1)")).otherwise(F.col("lower")))
-    same_base = Window.partitionBy("base")
-    has_singular = F.bool_or(F.col("lower") == F.col("base")).over(same_base)
-    merged = forms.withColumn("has_singular", has_singular).select(
+    without_last = {c: F.expr(f"left({c}, length({c}) - 1)") for c in ("lower", "form")}
+    forms = forms.select(
+        "form",
+        "lower",
+        F.when(ends_in_s, without_last["lower"]).otherwise(F.col("lower")).alias("base"),
+        "n",
+        dropped.alias("dropped"),
+    )
+    # Dropped terms go after the window. A filter before it would be pushed below the
+    # count and test every occurrence instead of every distinct term.
+    is_singular = ~F.col("dropped") & (F.col("lower") == F.col("base"))
+    forms = forms.withColumn("has_singular", F.bool_or(is_singular).over(Window.partitionBy("base")))
+    is_merged = F.col("has_singular") & (F.col("lower") != F.col("base"))
+    merged = forms.where(~F.col("dropped")).select(
         "base",
         F.when(F.col("has_singular"), F.col("base")).otherwise(F.col("lower")).alias("term"),
-        F.when(F.col("has_singular") & (F.col("lower") != F.col("base")), F.expr("left(form, length(form) - 1)"))
-        .otherwise(F.col("form"))
-        .alias("shown"),
+        F.when(is_merged, without_last["form"]).otherwise(F.col("form")).alias("shown"),
         "n",
     )
     # Grouping by the base first keeps the partitioning of the window.

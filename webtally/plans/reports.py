@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from webtally.functions.normalize import SORANI_ARABIC, Replace, Translate, normalize_text
+from webtally.functions.normalize import SORANI_ARABIC, Rule, normalize_text
 from webtally.operators import dedup as dd, frequency as fq, profile as pf, websites as ws, words as wd
 from webtally.plans.materialize import materialize
 
@@ -29,7 +29,7 @@ def website_report(
 
 
 def clean_texts(
-    df: DataFrame, text: str = "text", rules: Sequence[Translate | Replace] = SORANI_ARABIC, null_as: str | None = None
+    df: DataFrame, text: str = "text", rules: Sequence[Rule] = SORANI_ARABIC, null_as: str | None = None
 ) -> DataFrame:
     """Normalise the text column and make it a string. Runs before any duplicate is looked for."""
     return df.withColumn(text, pf.cast_string(normalize_text(text, rules), null_as))

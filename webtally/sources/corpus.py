@@ -34,12 +34,17 @@ def read_corpus(
     schema: T.StructType | None = None,
     lang: str | None = None,
     split: str | None = None,
+    min_partitions: int | None = None,
 ) -> DataFrame:
     """Read a corpus and keep one language configuration and split.
 
     Parquet and ORC carry their schema. For JSON lines ``CORPUS_SCHEMA`` is the
     default. On a layout written by :func:`write_corpus` the ``lang`` and
     ``split`` choices prune directories instead of reading and filtering rows.
+
+    ``min_partitions`` spreads the rows of an input with fewer splits than that,
+    such as a few compressed files, before work that is heavy on the processor. An
+    input with more splits, as any large one has, is left as it is.
     """
     reader = spark.read.format(fmt)
     if schema is not None:
@@ -48,7 +53,10 @@ def read_corpus(
         partitions = [T.StructField(c, T.StringType()) for c, v in (("lang", lang), ("split", split)) if v is not None]
         reader = reader.schema(T.StructType(CORPUS_SCHEMA.fields + partitions))
     paths = [path] if isinstance(path, str) else list(path)
-    return select_corpus(reader.load(paths), lang=lang, split=split)
+    df = select_corpus(reader.load(paths), lang=lang, split=split)
+    if min_partitions is not None and df.rdd.getNumPartitions() < min_partitions:
+        df = df.repartition(min_partitions)
+    return df
 
 
 def select_corpus(df: DataFrame, lang: str | None = None, split: str | None = None) -> DataFrame:

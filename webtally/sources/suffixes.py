@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The section marks of the published list format.
@@ -32,7 +33,8 @@ def _rules_from_lines(lines: DataFrame, line: Column) -> DataFrame:
 
 def suffix_rules(spark: SparkSession, rules: Iterable[str]) -> DataFrame:
     """A rule table from rules in list notation, such as ``com``, ``*.ck`` and ``!www.ck``."""
-    lines = spark.createDataFrame([(rule,) for rule in rules], "line string")
+    # An Arrow table becomes a local relation, so the parsing below is folded into the plan.
+    lines = spark.createDataFrame(pa.table({"line": pa.array(list(rules), pa.string())}))
     return _rules_from_lines(lines, F.col("line"))
 
 
