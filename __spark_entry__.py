@@ -198,12 +198,11 @@ def duplicate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dd.duplicate_rows(_documents(spark, sf_dir), "doc_id")
-    return dd.in_text_order(rows, "doc_id")
+    return dd.duplicate_rows(_documents(spark, sf_dir), "doc_id")
 
 
 def duplicate_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_rows(spark, sf_dir).limit(10)
+    return dd.first_in_text_order(duplicate_rows(spark, sf_dir), "doc_id", 10)
 
 
 def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +381,7 @@ def oracle_sql() -> dict[str, str]:
             FROM documents""",
         "duplicate_rows": """
             SELECT doc_id, text, lang, source, n_chars FROM documents
-            QUALIFY count(*) OVER (PARTITION BY text) > 1 ORDER BY text, doc_id""",
+            QUALIFY count(*) OVER (PARTITION BY text) > 1""",
         "duplicate_head": """
             SELECT doc_id, text, lang, source, n_chars FROM documents
             QUALIFY count(*) OVER (PARTITION BY text) > 1 ORDER BY text, doc_id LIMIT 10""",

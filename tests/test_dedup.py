@@ -62,10 +62,10 @@ def test_against_pandas(spark, mixed, partitions):
     )
 
     repeated = mixed[mixed.text.isin(mixed.text[duplicated])]
-    ordered = dd.in_text_order(dd.duplicate_rows(df, "id"), "id").collect()
-    assert len(ordered) == len(repeated)
+    assert {r.id for r in dd.duplicate_rows(df, "id").collect()} == set(repeated.id)
+    first = dd.first_in_text_order(dd.duplicate_rows(df, "id"), "id", 100).collect()
     want_order = sorted(repeated.itertuples(), key=lambda r: (r.text is not None, r.text or "", r.id))
-    assert [r.id for r in ordered] == [r.id for r in want_order]
+    assert [r.id for r in first] == [r.id for r in want_order[:100]]
 
     counts = dd.duplicate_count(df).first()
     assert counts.n_rows - counts.n_duplicates == full.count() == dd.dedup_count(df).first().n_rows

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from webtally.__main__ import main
 from webtally.operators import dedup as dd, words as wd
 from webtally.plans.materialize import materialize
-from webtally.plans.reports import clean_texts, duplicate_report, website_report, word_report
+from webtally.plans.reports import clean_texts
 from webtally.session import CHECKPOINT_DIR
-from webtally.sources import suffix_rules, write_tables
+from webtally.sources import write_corpus
 
 QUERIES = contract.queries()
 
@@ -110,20 +111,39 @@ def test_materialize_without_a_folder(spark, monkeypatch):
     kept.unpersist()
 
 
-def test_reports(spark, sf_dir, tmp_path):
-    pages = contract._pages(spark, sf_dir)
-    docs = clean_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    sites = website_report(pages, suffix_rules(spark, contract.FIXTURE_RULES), contract.URL, minimum=60)
-    texts = duplicate_report(docs, "doc_id")
-    words = word_report(docs, "doc_id")
-    write_tables({**sites, **texts, **words}, str(tmp_path))
-    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
-    assert {tuple(r) for r in read("website_counts").collect()} == {("example.com", 94), ("example.net", 102), ("example.org", 54)}
+def test_command_writes_every_report(spark, tmp_path):
+    """The whole analysis on fixture documents with URLs and normalisable letters, and one missing text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    url = F.concat(F.lit("https://www."), F.col("source"), F.lit(".co.uk/"), F.col("doc_id"))
+    corpus = docs.select(
+        F.col("doc_id").alias("id"),
+        F.when(F.col("doc_id") != 7, F.translate("text", "r", "ر")).alias("text"),
+        F.struct(F.struct(url.alias("warc-target-uri")).alias("warc_headers")).alias("meta"),
+        "lang",
+    )
+    write_corpus(corpus, f"{tmp_path}/corpus")
+    (tmp_path / "suffixes.dat").write_text("===BEGIN ICANN DOMAINS===\nuk\nco.uk\n===END ICANN DOMAINS===\n")
+    main([f"{tmp_path}/corpus", f"{tmp_path}/out", "--suffixes", f"{tmp_path}/suffixes.dat", "--min-pages", "2", "--lang", "en"])
+
+    read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
+    english = corpus.where("lang = 'en'")
+    assert read("corpus_count").first().n_rows == english.count()
+    want = {(f"{r.source}.co.uk", r["count"]) for r in docs.where("lang = 'en'").groupBy("source").count().collect()}
+    assert {tuple(r) for r in read("website_counts").collect()} == want
+    assert read("website_distinct").first()[0] == len(want)
     assert read("website_reconcile").first().ok
-    assert read("website_threshold").count() == 2
-    counts = read("duplicate_count").first()
-    assert counts.n_rows - counts.n_duplicates == read("dedup_count").first().n_rows
-    hist, stats = read("word_count_hist"), read("word_count_stats").first()
-    assert hist.agg(F.sum("n_rows")).first()[0] == counts.n_distinct
-    assert stats.mean_rows_per_length == counts.n_distinct / hist.count()
-    assert read("term_weights").count() == 2000 and read("top_tokens").count() == 10
+    assert {r.label for r in read("website_treemap").collect()} == {site for site, n in want if n >= 2}
+    assert {r.column: r.non_null for r in read("table_profile").collect()}["text"] == english.where("text is not null").count()
+
+    cleaned = clean_texts(english.select("id", "text"))
+    profile, counts = read("text_profile").first(), read("duplicate_count").first()
+    n_null = english.where("text is null").count()
+    assert profile["count"] == counts.n_rows - n_null and counts.n_rows == english.count()
+    assert counts.n_rows - counts.n_duplicates == read("dedup_count").first().n_rows == cleaned.select("text").distinct().count()
+    hist = read("word_count_hist")
+    assert hist.agg(F.sum("n_rows")).first()[0] == profile.unique
+    assert read("word_count_stats").first().mean_rows_per_length == profile.unique / hist.count()
+    top = [tuple(r) for r in read("top_tokens").orderBy(F.desc("countv"), "corpus").collect()]
+    assert top == [tuple(r) for r in wd.top_tokens(dd.dedup(cleaned, "id")).collect()]
+    assert any("ڕ" in r.term for r in read("term_weights").collect())
+    assert read("tokens_head").count() == 5 and read("duplicate_head").count() <= 10

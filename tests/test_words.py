@@ -34,6 +34,11 @@ def test_ties_by_first_seen(spark):
     assert [r.corpus for r in wd.top_tokens(_texts(spark, texts), 3).collect()] == ["w", "x", "y"]
 
 
+def test_first_seen_needs_an_integer_key(spark):
+    with pytest.raises(ValueError, match="integer"):
+        wd.top_tokens_first_seen(spark.createDataFrame([("a", "x")], "id string, text string"), "id")
+
+
 def test_first_tokens_skip_blank_texts(spark):
     texts = ["", None, " \n", "a", "", "b c", "", "d e f g"]
     got = wd.tokens_head(_texts(spark, texts), "id", 5).collect()

@@ -77,6 +77,10 @@ def duplicate_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.join(single, key, "left_anti")
 
 
-def in_text_order(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Sort by text and then by key, which also splits a long run of equal texts."""
-    return df.orderBy(text, key)
+def first_in_text_order(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
+    """The ``n`` first rows by text and then by key.
+
+    A top-k, not a sort: sorting everything by text would make Spark sample whole
+    texts to the driver to find the ranges.
+    """
+    return df.orderBy(text, key).limit(n)

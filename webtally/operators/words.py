@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from webtally.functions.tokens import has_words, raw_terms, tokens, word_count
 
@@ -30,9 +30,11 @@ def top_tokens(df: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
 def top_tokens_first_seen(df: DataFrame, key: str, n: int = 10, text: str = "text") -> DataFrame:
     """The ``n`` most frequent words; of equal counts, the one met first in the corpus.
 
-    ``key`` is an integer. Key and position are packed into one number, because a
+    ``key`` is an integer column. Key and position are packed into one number, because a
     minimum over a number is kept by the hash aggregate and one over a struct is not.
     """
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} must be an integer column")
     place = F.col(key).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
     return (
         df.select(key, F.posexplode(tokens(text)).alias("pos", "corpus"))

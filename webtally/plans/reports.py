@@ -36,12 +36,11 @@ def clean_texts(
 
 
 def duplicate_report(df: DataFrame, key: str, text: str = "text", n_head: int = 10) -> dict[str, DataFrame]:
-    """Completeness, text profile and exact duplicates of cleaned texts."""
+    """Text profile and exact duplicates of cleaned texts."""
     return {
-        "table_profile": pf.table_profile(df),
         "text_profile": pf.text_profile(df, text),
         "duplicate_count": dd.duplicate_count(df, text),
-        "duplicate_head": dd.in_text_order(dd.duplicate_rows(df, key, text), key, text).limit(n_head),
+        "duplicate_head": dd.first_in_text_order(dd.duplicate_rows(df, key, text), key, n_head, text),
     }
 
 
@@ -59,3 +58,29 @@ def word_report(
         "word_count_hist": wd.labelled_hist(hist),
         "word_count_stats": wd.word_count_stats(hist),
     }
+
+
+def corpus_report(
+    df: DataFrame,
+    rules: DataFrame,
+    key: str,
+    url: Column | str,
+    text: str = "text",
+    minimum: int = 1000,
+    max_words: int = 2000,
+    stop_words: Sequence[str] = (),
+    null_as: str | None = None,
+) -> dict[str, DataFrame]:
+    """All report tables of a corpus.
+
+    Websites are counted over all rows. Texts are normalised, written once, and then
+    profiled; words are counted over the distinct ones.
+    """
+    cleaned = materialize(clean_texts(df.select(key, text), text, null_as=null_as), "clean-texts")
+    return {
+        "corpus_count": pf.row_count(df),
+        "table_profile": pf.table_profile(df),
+        **website_report(df, rules, url, minimum),
+        **duplicate_report(cleaned, key, text),
+        **word_report(cleaned, key, text, max_words, stop_words=stop_words),
+    }
