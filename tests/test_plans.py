@@ -35,9 +35,9 @@ def test_no_python_and_no_cross_join(spark, sf_dir, name):
         ("corpus_count", ""),
         ("duplicate_count", "text:string"),
         ("dedup_count", "text:string"),
-        ("token_counts", "text:string"),
-        ("term_weights", "text:string"),
-        ("word_count_hist", "text:string"),
+        ("token_counts", "doc_id:bigint,text:string"),
+        ("term_weights", "doc_id:bigint,text:string"),
+        ("word_count_hist", "doc_id:bigint,text:string"),
     ],
 )
 def test_only_needed_columns_are_read(spark, sf_dir, name, columns):
@@ -61,9 +61,12 @@ def test_text_is_not_shuffled_to_flag_or_count_copies(spark, sf_dir):
         assert "SortAggregate" not in plan
 
 
-def test_ranking_is_cut_before_the_shuffle(spark, sf_dir):
-    plan = _plan(QUERIES["dedup"](spark, sf_dir))
-    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
+def test_texts_are_shuffled_once_and_not_sorted(spark, sf_dir):
+    for name in ("dedup", "duplicate_rows"):
+        plan = _plan(QUERIES[name](spark, sf_dir))
+        assert "ShuffledHashJoin" in plan and "Sort" not in plan and "Window" not in plan
+        assert len(re.findall(r"Exchange hashpartitioning\(doc_id", plan)) == 2
+        assert plan.count("Exchange") == 3 and "Exchange hashpartitioning(text" not in plan
 
 
 def test_pages_need_no_shuffle_for_their_website(spark, sf_dir):

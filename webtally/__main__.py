@@ -1,6 +1,6 @@
 """Analyse a corpus and write its report tables.
 
-    spark-submit --py-files webtally.zip -m webtally CORPUS OUT --suffixes public_suffix_list.dat
+    python -m webtally CORPUS OUT --suffixes public_suffix_list.dat
 """
 
 from __future__ import annotations

@@ -47,7 +47,7 @@ def website_of(host: Column, suffix_length: Column, tidy: bool = False) -> Colum
     A missing part leaves its dot (``localhost.``, ``.co.uk``) unless ``tidy``.
     """
     labels = F.split(host, r"\.")
-    n = F.size(labels)
+    n = F.array_size(labels)
     domain = F.coalesce(F.get(labels, n - suffix_length - 1), F.lit(""))
     suffix = F.array_join(F.slice(labels, n - suffix_length + 1, suffix_length), ".")
     is_ipv4 = host.rlike(IPV4)

@@ -3,14 +3,15 @@
 ``key`` names a unique, non-null, orderable column. The row with the smallest key
 is the first of its copies. Null texts count as copies of each other.
 
-No operator gathers the copies of one text in a task: a text repeated in a third
-of all rows is reduced within each input partition before anything is shuffled,
-and rows are matched back on the unique key.
+Texts are grouped by digest, in rows of a digest and a key that are combined within
+each input partition before they are shuffled. Whole rows are then matched with the
+resulting keys. The key is unique, so a text that fills a third of all rows is
+spread like any other, and no task gathers its copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from webtally.functions.digest import text_digest
 
@@ -24,33 +25,29 @@ def _groups(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def dedup(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Keep the first row of every distinct text.
+def _hashed(keys: DataFrame) -> DataFrame:
+    """Have a join hash these keys and stream the rows past them.
 
-    With just an integer key and the text, grouping by the text does it in one hash
-    aggregate. Otherwise rows are ranked within the digest; the rank filter lets
-    Spark drop later copies in each partition before the shuffle.
+    A partition has at most one key for each of its rows, a small part of the size of
+    their texts. A sort-merge join would sort the rows, texts included.
     """
-    if set(df.columns) == {key, text} and isinstance(df.schema[key].dataType, T.IntegralType):
-        return df.groupBy(text).agg(F.min(key).alias(key)).select(*df.columns)
-    first = Window.partitionBy(DIGEST).orderBy(key)
-    return (
-        df.withColumn(DIGEST, text_digest(text))
-        .withColumn("_rank", F.row_number().over(first))
-        .where(F.col("_rank") == 1)
-        .select(*df.columns)
-    )
+    return keys.hint("shuffle_hash")
+
+
+def dedup(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Keep the first row of every distinct text. A text is shuffled once and never sorted."""
+    first = _groups(df, key, text).select(key)
+    return df.join(_hashed(first), key, "left_semi").select(*df.columns)
 
 
 def duplicate_flags(df: DataFrame, key: str, text: str = "text", flag: str = "is_duplicate") -> DataFrame:
     """Mark every row but the first of its text.
 
-    Every row whose key is not the first key of a group is a later copy. The join
-    is on the unique key, so it has no hot value, and the text is not shuffled
-    unless the caller selects it.
+    Every row whose key is not the first key of a group is a later copy. The text is
+    not shuffled unless the caller selects it.
     """
     first = _groups(df, key, text).select(F.col(key), F.lit(True).alias("_first"))
-    return df.join(first, key, "left").select(*df.columns, F.col("_first").isNull().alias(flag))
+    return df.join(_hashed(first), key, "left").select(*df.columns, F.col("_first").isNull().alias(flag))
 
 
 def duplicate_count(df: DataFrame, text: str = "text") -> DataFrame:
@@ -70,11 +67,11 @@ def dedup_count(df: DataFrame, text: str = "text") -> DataFrame:
 def duplicate_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All rows whose text occurs more than once, first copies included.
 
-    These are the rows left when the texts with a single copy are taken out. Those
-    are taken out by their key, so the copies of one text stay spread over all tasks.
+    These are the rows left when the texts with a single copy are taken out by key.
+    A join with the repeated digests would gather the copies of a text.
     """
     single = _groups(df, key, text).where(F.col("copies") == 1).select(key)
-    return df.join(single, key, "left_anti")
+    return df.join(_hashed(single), key, "left_anti").select(*df.columns)
 
 
 def first_in_text_order(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ def _one_row_per_rule(rules: DataFrame) -> DataFrame:
 
 
 def _count_labels(name: Column) -> Column:
-    return F.size(F.split(name, r"\."))
+    return F.array_size(F.split(name, r"\."))
 
 
 def with_website(
@@ -48,12 +48,12 @@ def with_website(
     table above the size bounds is joined by shuffle instead, on the candidate and
     a salt taken from ``salt_by`` (all columns by default).
     """
-    table = _one_row_per_rule(rules)
-    size = table.agg(
+    size = rules.agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(F.octet_length("rule")), F.lit(0)).alias("n_bytes"),
         F.coalesce(F.max(_count_labels(F.col("rule"))), F.lit(0)).alias("depth"),
     ).first()
+    table = _one_row_per_rule(rules)
     small = size["n"] <= max_broadcast_rules and size["n_bytes"] <= max_broadcast_bytes
 
     n_labels = _count_labels(F.col(host))
