@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webtally.functions import host_name, normalize_text, unify_numerals
 from webtally.operators import dedup as dd, frequency as fq, profile as pf, websites as ws, words as wd
+from webtally.plans.materialize import materialize
 from webtally.plans.reports import clean_texts
 from webtally.sources import read_corpus, suffix_rules
 
@@ -175,7 +176,8 @@ def cast_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dd.dedup(clean_texts(_arabic_texts(spark, sf_dir)), "doc_id")
+    # Written first: deduplication reads its input twice, and normalising is the dear part.
+    return dd.dedup(materialize(clean_texts(_arabic_texts(spark, sf_dir)), "clean-texts"), "doc_id")
 
 
 # ---------------------------------------------------------------- profiles and duplicates
@@ -185,6 +187,10 @@ def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.text_profile(_texts(spark, sf_dir))
 
 
+def text_profile_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.text_profile_first_seen(_texts(spark, sf_dir), "doc_id")
+
+
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.table_profile(_documents(spark, sf_dir))
 
@@ -250,7 +256,7 @@ QUERIES = (
     website_counts, website_distinct, website_top, website_threshold, website_reconcile, website_treemap,
     host_threshold,
     text_normalize, numeral_unify, cast_string, normalized_dedup,
-    text_profile, table_profile,
+    text_profile, text_profile_first_seen, table_profile,
     duplicate_flag, duplicate_count, duplicate_rows, duplicate_head, dedup, dedup_count,
     tokens_head, token_counts, top_tokens, top_tokens_first_seen,
     word_count_hist, word_count_stats, term_weights,
@@ -367,6 +373,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
                    (SELECT text FROM groups ORDER BY n DESC, text LIMIT 1) AS top, max(n) AS freq
             FROM groups""",
+        "text_profile_first_seen": """
+            WITH groups AS (
+                SELECT text, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY text
+            )
+            SELECT CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
+                   (SELECT text FROM groups ORDER BY n DESC, first LIMIT 1) AS top, max(n) AS freq,
+                   (SELECT first FROM groups ORDER BY n DESC, first LIMIT 1) AS top_key
+            FROM groups""",
         "table_profile": """
             SELECT 0 AS position, 'doc_id' AS "column", count(doc_id) AS non_null, 'bigint' AS dtype FROM documents
             UNION ALL SELECT 1, 'text', count(text), 'string' FROM documents

@@ -77,7 +77,10 @@ def test_table_profile(spark):
 def test_text_profile(spark):
     df = _texts(spark, ["b", "a", None, "b", "a", "c", None, None])
     assert tuple(pf.text_profile(df).first()) == (5, 3, "a", 2)
-    assert tuple(pf.text_profile(df.where("text is null")).first()) == (0, 0, None, None)
+    assert tuple(pf.text_profile_first_seen(df, "id").first()) == (5, 3, "b", 2, 0)
+    for none in (df.where("text is null"), df.where("false")):
+        assert tuple(pf.text_profile(none).first()) == (0, 0, None, None)
+        assert tuple(pf.text_profile_first_seen(none, "id").first()) == (0, 0, None, None, None)
 
 
 def test_flatten_struct_with_missing_fields(spark):

@@ -18,7 +18,7 @@ from webtally.functions.digest import text_digest
 DIGEST = "_digest"
 
 
-def _groups(df: DataFrame, key: str, text: str) -> DataFrame:
+def text_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """One narrow row per distinct text: number of copies and first key."""
     return df.groupBy(text_digest(text).alias(DIGEST)).agg(
         F.count("*").alias("copies"), F.min(key).alias(key)
@@ -36,7 +36,7 @@ def _hashed(keys: DataFrame) -> DataFrame:
 
 def dedup(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Keep the first row of every distinct text. A text is shuffled once and never sorted."""
-    first = _groups(df, key, text).select(key)
+    first = text_groups(df, key, text).select(key)
     return df.join(_hashed(first), key, "left_semi").select(*df.columns)
 
 
@@ -46,7 +46,7 @@ def duplicate_flags(df: DataFrame, key: str, text: str = "text", flag: str = "is
     Every row whose key is not the first key of a group is a later copy. The text is
     not shuffled unless the caller selects it.
     """
-    first = _groups(df, key, text).select(F.col(key), F.lit(True).alias("_first"))
+    first = text_groups(df, key, text).select(F.col(key), F.lit(True).alias("_first"))
     return df.join(_hashed(first), key, "left").select(*df.columns, F.col("_first").isNull().alias(flag))
 
 
@@ -70,7 +70,7 @@ def duplicate_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     These are the rows left when the texts with a single copy are taken out by key.
     A join with the repeated digests would gather the copies of a text.
     """
-    single = _groups(df, key, text).where(F.col("copies") == 1).select(key)
+    single = text_groups(df, key, text).where(F.col("copies") == 1).select(key)
     return df.join(_hashed(single), key, "left_anti").select(*df.columns)
 
 

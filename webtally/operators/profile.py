@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from webtally.operators.dedup import text_groups
+
 
 def row_count(df: DataFrame, name: str = "n_rows") -> DataFrame:
     return df.agg(F.count("*").alias(name))
@@ -44,15 +46,35 @@ def table_profile(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def _totals() -> list[Column]:
+    """Totals over one row per distinct text with its number of ``copies``."""
+    return [
+        F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("count"),
+        F.count("*").alias("unique"),
+        F.max("copies").alias("freq"),
+    ]
+
+
 def text_profile(df: DataFrame, text: str = "text") -> DataFrame:
     """Count, distinct count, most frequent text and its frequency.
 
-    Of equally frequent texts the smallest is ``top``.
+    Of equally frequent texts the smallest is ``top``. Finding it takes a shuffle of
+    the texts; :func:`text_profile_first_seen` does without.
     """
-    groups = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("n"))
-    return groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("count"),
-        F.count("*").alias("unique"),
-        F.min_by("_text", F.struct(-F.col("n"), F.col("_text"))).alias("top"),
-        F.max("n").alias("freq"),
-    )
+    known = df.where(F.col(text).isNotNull())
+    groups = known.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("copies"))
+    top = F.min_by("_text", F.struct(-F.col("copies"), F.col("_text")))
+    return groups.agg(*_totals(), top.alias("top")).select("count", "unique", "top", "freq")
+
+
+def text_profile_first_seen(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The same profile, with the text met first in order of ``key`` as ``top`` of equals.
+
+    Texts are grouped by digest. Only the key of the top text leaves the groups, as
+    the additional column ``top_key``, and its row is looked up by that key.
+    """
+    known = df.where(F.col(text).isNotNull())
+    groups = text_groups(known, key, text)
+    summary = groups.agg(*_totals(), F.min_by(key, F.struct(-F.col("copies"), F.col(key))).alias("top_key"))
+    top = known.where(F.col(key) == summary.select("top_key").scalar()).select(text).scalar()
+    return summary.select("count", "unique", top.alias("top"), "freq", "top_key")

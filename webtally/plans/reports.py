@@ -38,7 +38,7 @@ def clean_texts(
 def duplicate_report(df: DataFrame, key: str, text: str = "text", n_head: int = 10) -> dict[str, DataFrame]:
     """Text profile and exact duplicates of cleaned texts."""
     return {
-        "text_profile": pf.text_profile(df, text),
+        "text_profile": pf.text_profile_first_seen(df, key, text),
         "duplicate_count": dd.duplicate_count(df, text),
         "duplicate_head": dd.first_in_text_order(dd.duplicate_rows(df, key, text), key, n_head, text),
     }
