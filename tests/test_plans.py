@@ -75,6 +75,13 @@ def test_pages_need_no_shuffle_for_their_website(spark, sf_dir):
     assert "BroadcastHashJoin" in pages and not re.search(r"Exchange (hash|range|Single|RoundRobin)", pages)
 
 
+def test_pages_are_counted_before_each_shuffle(spark, sf_dir):
+    plan = _plan(QUERIES["website_counts"](spark, sf_dir))
+    for key in ("host", "website"):
+        exchange = plan.index(f"Exchange hashpartitioning({key}#")
+        assert re.match(rf".*\n[^\n]*HashAggregate\(keys=\[{key}#\d+\], functions=\[partial_", plan[exchange:])
+
+
 def test_known_totals(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     assert tuple(dd.duplicate_count(docs).first()) == (1000, 927, 73)

@@ -14,6 +14,8 @@ SUFFIX_LIST = """// a comment
 !www.ck
 COM trailing words do not count
   co.uk
+рф
+*.公司.cn
 // ===END ICANN DOMAINS===
 // ===BEGIN PRIVATE DOMAINS===
 blogspot.com
@@ -25,6 +27,7 @@ def test_suffix_list_file(spark, tmp_path):
     path = tmp_path / "suffixes.dat"
     path.write_text(SUFFIX_LIST)
     public = {("ck", "wild"), ("www.ck", "exc"), ("com", "std"), ("co.uk", "std")}
+    public |= {("рф", "std"), ("xn--p1ai", "std"), ("公司.cn", "wild"), ("xn--55qx5d.cn", "wild")}
     assert {tuple(r) for r in read_suffix_list(spark, str(path)).collect()} == public
     everything = read_suffix_list(spark, str(path), private=True)
     assert {tuple(r) for r in everything.collect()} == public | {("blogspot.com", "std")}

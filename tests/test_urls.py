@@ -67,6 +67,13 @@ def test_without_rules_the_last_label_is_the_domain(spark, hosts):
     assert got["www.example.co.uk"] == "uk." and got["127.0.0.1"] == "127.0.0.1."
 
 
+def test_internationalised_suffixes(spark):
+    cases = {"www.xn--e1afmkfd.xn--p1ai": "xn--e1afmkfd.xn--p1ai", "www.пример.рф": "пример.рф", "a.b.com": "b.com"}
+    hosts = spark.createDataFrame([(h,) for h in cases], "host string")
+    got = ws.with_website(hosts, suffix_rules(spark, ("com", "рф"))).collect()
+    assert {r.host: r.website for r in got} == cases
+
+
 def test_tidy_websites(hosts, rules):
     got = {r.host: r.website for r in ws.with_website(hosts, rules, tidy=True).collect()}
     assert (got["localhost"], got["co.uk"], got["127.0.0.1"]) == ("localhost", "co.uk", "127.0.0.1")

@@ -1,14 +1,16 @@
 """The public-suffix rule table: ``rule string, kind string``.
 
 ``kind`` is ``std`` for a plain rule, ``wild`` for ``*.rule`` and ``exc`` for ``!rule``.
+A rule with letters beyond ASCII is in the table twice, as written and as ``xn--`` name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The section marks of the published list format.
 ICANN_SECTION = r"(?s)===BEGIN ICANN DOMAINS===(.*?)===END ICANN DOMAINS==="
@@ -31,11 +33,28 @@ def _rules_from_lines(lines: DataFrame, line: Column) -> DataFrame:
     )
 
 
+def _label_to_ascii(label: str) -> str:
+    return label if label.isascii() else "xn--" + label.encode("punycode").decode("ascii")
+
+
+@F.pandas_udf(T.StringType())
+def _to_ascii(rules: pd.Series) -> pd.Series:
+    """Internationalised names as URLs spell them. Runs on the few such rules only."""
+    return rules.map(lambda rule: ".".join(map(_label_to_ascii, rule.split("."))))
+
+
+def _with_ascii_forms(rules: DataFrame) -> DataFrame:
+    international = rules.where(F.col("rule").rlike(r"[^\x00-\x7f]"))
+    return rules.unionByName(international.select(_to_ascii("rule").alias("rule"), "kind"))
+
+
 def suffix_rules(spark: SparkSession, rules: Iterable[str]) -> DataFrame:
     """A rule table from rules in list notation, such as ``com``, ``*.ck`` and ``!www.ck``."""
+    rules = list(rules)
     # An Arrow table becomes a local relation, so the parsing below is folded into the plan.
-    lines = spark.createDataFrame(pa.table({"line": pa.array(list(rules), pa.string())}))
-    return _rules_from_lines(lines, F.col("line"))
+    lines = spark.createDataFrame(pa.table({"line": pa.array(rules, pa.string())}))
+    table = _rules_from_lines(lines, F.col("line"))
+    return table if all(map(str.isascii, rules)) else _with_ascii_forms(table)
 
 
 def read_suffix_list(spark: SparkSession, path: str, private: bool = False) -> DataFrame:
@@ -48,4 +67,4 @@ def read_suffix_list(spark: SparkSession, path: str, private: bool = False) -> D
     sections = [ICANN_SECTION, PRIVATE_SECTION] if private else [ICANN_SECTION]
     body = F.concat_ws("\n", *[F.regexp_extract("value", section, 1) for section in sections])
     lines = text.select(F.explode(F.split(body, r"\r?\n")).alias("line"))
-    return _rules_from_lines(lines, F.col("line"))
+    return _with_ascii_forms(_rules_from_lines(lines, F.col("line")))
