@@ -29,6 +29,13 @@ def test_empty_input(spark):
     assert tuple(dd.duplicate_count(df).first()) == (0, 0, 0)
 
 
+def test_column_order_and_names_are_kept(spark):
+    df = _frame(spark, [("x", "a", 1), ("y", "a", 2)], "`o.dd` string, text string, id long")
+    assert [tuple(r) for r in dd.dedup(df, "id").collect()] == [("x", "a", 1)]
+    assert dd.duplicate_rows(df, "id").columns == df.columns
+    assert dd.duplicate_flags(df, "id").columns == [*df.columns, "is_duplicate"]
+
+
 @pytest.fixture(scope="module")
 def mixed():
     """Random rows, a third of which hold one text, in shuffled order."""

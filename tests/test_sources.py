@@ -61,6 +61,20 @@ def test_language_and_split_prune_folders(spark, tmp_path, fmt):
     assert read_corpus(spark, str(tmp_path / "corpus"), fmt).count() == 90
 
 
+def test_a_common_language_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 20000, 1, 8).select(
+        "id", F.sha2(F.col("id").cast("string"), 256).alias("text"), F.when(F.col("id") % 10 < 9, "ku").otherwise("ckb").alias("lang")
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        write_corpus(rows, f"{tmp_path}/corpus")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {lang: len(list((tmp_path / "corpus" / f"lang={lang}").glob("*.parquet"))) for lang in ("ku", "ckb")}
+    assert files["ku"] >= 4 > files["ckb"]
+    assert read_corpus(spark, f"{tmp_path}/corpus").distinct().count() == 20000
+
+
 def test_report_tables(spark, tmp_path):
     tables = {"a": spark.range(3), "b": spark.range(2)}
     write_tables(tables, f"{tmp_path}/out/", "json")

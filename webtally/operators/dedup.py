@@ -11,13 +11,17 @@ spread like any other, and no task gathers its copies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from webtally.functions.digest import text_digest
 
 DIGEST = "_digest"
 
 
+def _columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{name}`") for name in df.columns]
+
+
 def text_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """One narrow row per distinct text: number of copies and first key."""
     return df.groupBy(text_digest(text).alias(DIGEST)).agg(
@@ -37,7 +41,7 @@ def _hashed(keys: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Keep the first row of every distinct text. A text is shuffled once and never sorted."""
     first = text_groups(df, key, text).select(key)
-    return df.join(_hashed(first), key, "left_semi").select(*df.columns)
+    return df.join(_hashed(first), key, "left_semi").select(*_columns(df))
 
 
 def duplicate_flags(df: DataFrame, key: str, text: str = "text", flag: str = "is_duplicate") -> DataFrame:
@@ -47,7 +51,7 @@ def duplicate_flags(df: DataFrame, key: str, text: str = "text", flag: str = "is
     not shuffled unless the caller selects it.
     """
     first = text_groups(df, key, text).select(F.col(key), F.lit(True).alias("_first"))
-    return df.join(_hashed(first), key, "left").select(*df.columns, F.col("_first").isNull().alias(flag))
+    return df.join(_hashed(first), key, "left").select(*_columns(df), F.col("_first").isNull().alias(flag))
 
 
 def duplicate_count(df: DataFrame, text: str = "text") -> DataFrame:
@@ -71,7 +75,7 @@ def duplicate_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     A join with the repeated digests would gather the copies of a text.
     """
     single = text_groups(df, key, text).where(F.col("copies") == 1).select(key)
-    return df.join(_hashed(single), key, "left_anti").select(*df.columns)
+    return df.join(_hashed(single), key, "left_anti").select(*_columns(df))
 
 
 def first_in_text_order(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:

@@ -58,7 +58,7 @@ def with_website(
 
     n_labels = _count_labels(F.col(host))
     salted = df if small else df.withColumn(
-        "_salt", F.pmod(F.xxhash64(*(salt_by or df.columns)), F.lit(RULE_SALTS)).cast("int")
+        "_salt", F.pmod(F.xxhash64(*(salt_by or [f"`{c}`" for c in df.columns])), F.lit(RULE_SALTS)).cast("int")
     )
     joined = salted
     lengths, exceptions = [F.lit(0), F.lit(0)], []
@@ -83,7 +83,7 @@ def with_website(
     # An exception takes precedence; of several, the one with the most labels.
     suffix_length = F.coalesce(*reversed(exceptions), longest) if exceptions else longest
     return joined.select(
-        *[F.col(c) for c in df.columns if c != website],
+        *[F.col(f"`{c}`") for c in df.columns if c != website],
         website_of(F.col(host), suffix_length, tidy).alias(website),
     )
 

@@ -70,10 +70,11 @@ def select_corpus(df: DataFrame, lang: str | None = None, split: str | None = No
 def write_corpus(df: DataFrame, path: str, partition_by: Sequence[str] = ("lang",), fmt: str = "parquet") -> None:
     """Write a corpus so that later reads of one language touch only its folder.
 
-    The rows stay in the tasks that hold them: a shuffle on ``lang`` would send
-    the most common language to a single task.
+    The rebalance collects the rows of a folder into files of the advisory partition
+    size: a common language is split over many tasks, and the tasks do not each
+    leave a small file for every rare one.
     """
-    df.write.mode("overwrite").format(fmt).partitionBy(*partition_by).save(path)
+    df.hint("rebalance", *partition_by).write.mode("overwrite").format(fmt).partitionBy(*partition_by).save(path)
 
 
 def write_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> None:
