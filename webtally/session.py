@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
-    """A local session. Shuffle partitions follow the cores, which suits one machine only."""
+def local_session(cores: int | str = "*", memory: str = "8g", checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session. Shuffle partitions follow the cores, which suits one machine only.
+
+    ``checkpoint_dir`` is for machines whose Spark settings name none.
+    """
     partitions = 8 if cores == "*" else int(cores)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -20,9 +21,9 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        # One machine: the shared folder may be a local one.
-        .config(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="webtally-"))
     )
+    if checkpoint_dir is not None:
+        builder = builder.config(CHECKPOINT_DIR, checkpoint_dir)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
