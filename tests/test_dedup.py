@@ -77,7 +77,7 @@ def test_against_pandas(spark, mixed, partitions):
 
 
 def test_dedup_is_idempotent(spark, mixed):
-    df = spark.createDataFrame(mixed[["id", "text"]].astype({"text": object}).where(mixed[["id", "text"]].notna(), None), "id long, text string")
+    df = _frame(spark, list(zip(mixed.id.tolist(), (None if pd.isna(t) else t for t in mixed.text))))
     once = dd.dedup(df, "id")
     assert dd.dedup(once, "id").exceptAll(once).count() == 0
     assert dd.duplicate_count(once).first().n_duplicates == 0
@@ -93,7 +93,8 @@ def test_copies_of_one_text_stay_spread(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        df = spark.range(0, 40000, 1, 8).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+        other = F.sha2(F.col("id").cast("string"), 256)
+        df = spark.range(0, 40000, 1, 8).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(other).alias("text"))
         assert dd.duplicate_rows(df, "id").count() == 20000
         assert _largest_share(dd.duplicate_rows(df, "id")) < 0.2
         assert _largest_share(dd.duplicate_flags(df, "id")) < 0.2

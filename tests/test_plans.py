@@ -49,7 +49,9 @@ def test_language_filter_reaches_the_scan(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,fr)]" in _plan(QUERIES["corpus_select"](spark, sf_dir))
 
 
-@pytest.mark.parametrize("name", ["website_top", "duplicate_head", "tokens_head", "top_tokens", "term_weights", "corpus_head"])
+@pytest.mark.parametrize(
+    "name", ["website_top", "duplicate_head", "tokens_head", "top_tokens", "term_weights", "corpus_head"]
+)
 def test_limits_are_top_k(spark, sf_dir, name):
     assert "TakeOrderedAndProject" in _plan(QUERIES[name](spark, sf_dir))
 
@@ -133,7 +135,8 @@ def test_command_writes_every_report(spark, tmp_path):
     )
     write_corpus(corpus, f"{tmp_path}/corpus")
     (tmp_path / "suffixes.dat").write_text("===BEGIN ICANN DOMAINS===\nuk\nco.uk\n===END ICANN DOMAINS===\n")
-    main([f"{tmp_path}/corpus", f"{tmp_path}/out", "--suffixes", f"{tmp_path}/suffixes.dat", "--min-pages", "2", "--lang", "en"])
+    options = ["--suffixes", f"{tmp_path}/suffixes.dat", "--min-pages", "2", "--lang", "en"]
+    main([f"{tmp_path}/corpus", f"{tmp_path}/out", *options])
 
     read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
     english = corpus.where("lang = 'en'")
@@ -143,13 +146,14 @@ def test_command_writes_every_report(spark, tmp_path):
     assert read("website_distinct").first()[0] == len(want)
     assert read("website_reconcile").first().ok
     assert {r.label for r in read("website_treemap").collect()} == {site for site, n in want if n >= 2}
-    assert {r.column: r.non_null for r in read("table_profile").collect()}["text"] == english.where("text is not null").count()
+    non_null = {r.column: r.non_null for r in read("table_profile").collect()}
+    assert non_null["text"] == english.where("text is not null").count()
 
     cleaned = clean_texts(english.select("id", "text"))
     profile, counts = read("text_profile").first(), read("duplicate_count").first()
     n_null = english.where("text is null").count()
     assert profile["count"] == counts.n_rows - n_null and counts.n_rows == english.count()
-    assert counts.n_rows - counts.n_duplicates == read("dedup_count").first().n_rows == cleaned.select("text").distinct().count()
+    assert counts.n_distinct == read("dedup_count").first().n_rows == cleaned.select("text").distinct().count()
     hist = read("word_count_hist")
     assert hist.agg(F.sum("n_rows")).first()[0] == profile.unique
     assert read("word_count_stats").first().mean_rows_per_length == profile.unique / hist.count()

@@ -63,7 +63,9 @@ def test_language_and_split_prune_folders(spark, tmp_path, fmt):
 
 def test_a_common_language_is_written_by_many_tasks(spark, tmp_path):
     rows = spark.range(0, 20000, 1, 8).select(
-        "id", F.sha2(F.col("id").cast("string"), 256).alias("text"), F.when(F.col("id") % 10 < 9, "ku").otherwise("ckb").alias("lang")
+        "id",
+        F.sha2(F.col("id").cast("string"), 256).alias("text"),
+        F.when(F.col("id") % 10 < 9, "ku").otherwise("ckb").alias("lang"),
     )
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
     try:

@@ -11,6 +11,9 @@ from webtally.operators import profile as pf
 SPACES = [chr(c) for c in range(0x110000) if not chr(c).split()]
 
 
+CHARACTERS = st.one_of(st.sampled_from(SPACES), st.characters(exclude_categories=["Cs"]))
+
+
 def _texts(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "id int, text string")
 
@@ -25,7 +28,7 @@ def test_words_split_like_python(spark):
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(texts=st.lists(st.text(st.one_of(st.sampled_from(SPACES), st.characters(exclude_categories=["Cs"]))), min_size=1, max_size=60))
+@given(texts=st.lists(st.text(CHARACTERS), min_size=1, max_size=60))
 def test_words_of_any_text(spark, texts):
     for row in _texts(spark, texts).select("id", tokens("text").alias("t")).collect():
         assert row.t == texts[row.id].split()
@@ -64,7 +67,8 @@ def test_numerals(spark):
 
 def test_cast_string(spark):
     df = spark.createDataFrame([(1, 2.5), (None, None)], "i long, d double")
-    got = df.select(pf.cast_string("i"), pf.cast_string("d", null_as="nan"), pf.cast_string(F.col("i"), "None")).collect()
+    columns = pf.cast_string("i"), pf.cast_string("d", null_as="nan"), pf.cast_string(F.col("i"), "None")
+    got = df.select(*columns).collect()
     assert [tuple(r) for r in got] == [("1", "2.5", "1"), (None, "nan", "None")]
 
 
@@ -85,7 +89,8 @@ def test_text_profile(spark):
 
 def test_flatten_struct_with_missing_fields(spark):
     schema = "id int, meta struct<warc_headers: struct<`warc-target-uri`: string, `warc-date`: string>>"
-    df = spark.createDataFrame([(1, {"warc_headers": {"warc-target-uri": "u"}}), (2, {"warc_headers": None}), (3, None)], schema)
+    rows = [(1, {"warc_headers": {"warc-target-uri": "u"}}), (2, {"warc_headers": None}), (3, None)]
+    df = spark.createDataFrame(rows, schema)
     got = pf.flatten_struct(df, "meta.warc_headers", "id")
     assert got.columns == ["id", "warc-target-uri", "warc-date"]
     assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, "u", None), (2, None, None), (3, None, None)]

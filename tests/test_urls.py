@@ -5,7 +5,10 @@ from webtally.functions import host_name, host_of
 from webtally.operators import frequency as fq, websites as ws
 from webtally.sources import suffix_rules
 
-RULES = ("com", "net", "org", "uk", "co.uk", "jp", "ac.jp", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp", "a.b.c.d.test")
+RULES = (
+    "com", "net", "org", "uk", "co.uk", "jp", "ac.jp", "a.b.c.d.test",
+    "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp",
+)
 
 WEBSITES = {
     "www.example.co.uk": "example.co.uk",
@@ -57,6 +60,20 @@ def test_large_rule_table_is_not_broadcast(spark, hosts, rules):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_pages_of_one_host_stay_spread_without_broadcast(spark, rules):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pages = spark.range(20000).withColumn("url", F.lit("http://www.hot.co.uk/"))
+        sites = ws.page_websites(pages, rules, "id", "url", max_broadcast_rules=0)
+        sizes = [r["count"] for r in sites.groupBy("website", F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20000 and max(sizes) < 0.4 * 20000
+        assert sites.select("website").distinct().collect() == [("hot.co.uk",)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_repeated_rules_do_not_repeat_rows(spark, hosts):
     doubled = suffix_rules(spark, RULES + RULES)
     assert ws.with_website(hosts, doubled).count() == hosts.count()
@@ -143,7 +160,8 @@ def test_value_counts_leave_nulls_out(spark):
 
 
 def test_treemap_levels(spark):
-    freq = spark.createDataFrame([("org", "a", 1), ("org", "b", 3), ("com", "c", 4)], "tld string, site string, counts long")
+    rows = [("org", "a", 1), ("org", "b", 3), ("com", "c", 4)]
+    freq = spark.createDataFrame(rows, "tld string, site string, counts long")
     got = {r.id: (r.label, r.parent, r.value, r.share) for r in fq.treemap_nodes(freq, ["tld", "site"]).collect()}
     assert got == {
         "org": ("org", "", 4, 0.5),
