@@ -97,6 +97,18 @@ def test_known_totals(spark, sf_dir):
     assert round(stats.mean_rows_per_length, 2) == 1.78 and round(stats.avg_words_per_row, 2) == 392.93
 
 
+def test_known_websites(spark, sf_dir):
+    assert {tuple(r) for r in QUERIES["website_counts"](spark, sf_dir).collect()} == {
+        ("example.com", 94),
+        ("example.net", 102),
+        ("example.org", 54),
+    }
+    assert QUERIES["url_host"](spark, sf_dir).select("host").distinct().count() == 58
+    assert QUERIES["website_threshold"](spark, sf_dir).count() == 2
+    assert QUERIES["host_threshold"](spark, sf_dir).count() == 4
+    assert QUERIES["website_treemap"](spark, sf_dir).agg(F.sum("share")).first()[0] == pytest.approx(1)
+
+
 def test_results_do_not_depend_on_partitioning(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     spread = docs.repartition(13, F.xxhash64("doc_id"))

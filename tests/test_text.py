@@ -34,6 +34,13 @@ def test_words_of_any_text(spark, texts):
         assert row.t == texts[row.id].split()
 
 
+def test_long_texts_are_taken_whole(spark):
+    text = "ر٣ " * 700_000 + "end"
+    df = _texts(spark, [text]).select(normalize_text("text").alias("text"), word_count("text").alias("n"))
+    row = df.select("n", F.length("text").alias("length"), F.right("text", F.lit(6)).alias("tail")).first()
+    assert tuple(row) == (700_001, len(text), "ڕ3 end")
+
+
 def test_normalisation_sample(spark):
     text = "كوردي  ٣٤ ۵۶ رۆژ ده" + ZWNJ + "ڵێم  ک" + TATWEEL + "تێب"
     got = _texts(spark, [text, None, ""]).orderBy("id").select(normalize_text("text").alias("t")).collect()

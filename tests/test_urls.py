@@ -159,6 +159,11 @@ def test_value_counts_leave_nulls_out(spark):
     assert {tuple(r) for r in fq.value_counts(df, "v").collect()} == {("a", 2), ("b", 1)}
 
 
+def test_approximate_number_of_values(spark):
+    df = spark.range(50000).select((F.col("id") % 10000).cast("string").alias("v"))
+    assert abs(fq.approx_distinct(df, "v").first().n_distinct - 10000) < 1000
+
+
 def test_treemap_levels(spark):
     rows = [("org", "a", 1), ("org", "b", 3), ("com", "c", 4)]
     freq = spark.createDataFrame(rows, "tld string, site string, counts long")

@@ -32,6 +32,11 @@ def distinct_values(freq: DataFrame, name: str = "n_distinct") -> DataFrame:
     return freq.agg(F.count("*").alias(name))
 
 
+def approx_distinct(df: DataFrame, column: str, name: str = "n_distinct", rsd: float = 0.02) -> DataFrame:
+    """Estimated number of values, with relative error ``rsd``; shuffles one sketch per task."""
+    return df.agg(F.approx_count_distinct(column, rsd).alias(name))
+
+
 def reconcile(freq: DataFrame, column: str, expected: Column, counts: str = "counts") -> DataFrame:
     """Compare the total of a frequency table that kept its null group with ``expected``.
 
