@@ -11,7 +11,7 @@ from webtally.operators import dedup as dd, words as wd
 from webtally.plans.materialize import materialize
 from webtally.plans.reports import clean_texts
 from webtally.session import CHECKPOINT_DIR
-from webtally.sources import write_corpus
+from webtally.sources import write_bucketed, write_corpus
 
 QUERIES = contract.queries()
 
@@ -71,6 +71,26 @@ def test_texts_are_shuffled_once_and_not_sorted(spark, sf_dir):
         assert plan.count("Exchange") == 3 and "Exchange hashpartitioning(text" not in plan
 
 
+def test_bucketed_texts_are_not_shuffled(spark, sf_dir, tmp_path):
+    """On a table bucketed by key only digests and keys move, and the rows are the same."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    write_bucketed(docs, "bucketed_docs", "doc_id", 6, f"{tmp_path}/docs")
+    assert len(list((tmp_path / "docs").glob("*.parquet"))) == 6
+    table = spark.table("bucketed_docs")
+    try:
+        for operator in (dd.dedup, dd.duplicate_rows, dd.duplicate_flags):
+            got = operator(table, "doc_id")
+            plan = _plan(got)
+            # the digest, then the keys into the buckets of the table
+            exchanges = re.findall(r"Exchange hashpartitioning\((\w+)#\w+, (\d+)\)", plan)
+            assert exchanges == [("doc_id", "6"), ("_groupingexpression", "8")]
+            stream = plan[plan.index("ShuffledHashJoin") : plan.index("Exchange")]
+            assert "FileScan" in stream and "Bucketed: true" in stream
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, operator(docs, "doc_id").collect()))
+    finally:
+        spark.sql("DROP TABLE bucketed_docs")
+
+
 def test_pages_need_no_shuffle_for_their_website(spark, sf_dir):
     plan = _plan(QUERIES["page_website"](spark, sf_dir))
     pages = plan[: plan.index("BroadcastExchange")]
@@ -128,6 +148,16 @@ def test_materialize_uses_the_folder_of_the_session(spark, tmp_path):
     assert all(folder in file for file in kept.inputFiles())
 
 
+def test_materialize_by_key(spark):
+    numbers = spark.range(1000).withColumn("text", (F.col("id") % 7).cast("string"))
+    kept = materialize(numbers, "by-key", bucket_by="id")
+    assert dd.dedup(kept, "id").count() == 7
+    assert "Bucketed: true" in _plan(dd.dedup(kept, "id"))
+    name = [t.name for t in spark.catalog.listTables() if "by_key" in t.name]
+    assert len(name) == 1
+    spark.sql(f"DROP TABLE {name[0]}")
+
+
 def test_materialize_without_a_folder(spark, monkeypatch):
     monkeypatch.setattr("webtally.plans.materialize.shared_folder", lambda df: None)
     kept = materialize(spark.range(10), "t")
@@ -135,7 +165,8 @@ def test_materialize_without_a_folder(spark, monkeypatch):
     kept.unpersist()
 
 
-def test_command_writes_every_report(spark, tmp_path):
+@pytest.mark.parametrize("more", [[], ["--bucketed"]])
+def test_command_writes_every_report(spark, tmp_path, more):
     """The whole analysis on fixture documents with URLs and normalisable letters, and one missing text."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     url = F.concat(F.lit("https://www."), F.col("source"), F.lit(".co.uk/"), F.col("doc_id"))
@@ -147,7 +178,7 @@ def test_command_writes_every_report(spark, tmp_path):
     )
     write_corpus(corpus, f"{tmp_path}/corpus")
     (tmp_path / "suffixes.dat").write_text("===BEGIN ICANN DOMAINS===\nuk\nco.uk\n===END ICANN DOMAINS===\n")
-    options = ["--suffixes", f"{tmp_path}/suffixes.dat", "--min-pages", "2", "--lang", "en"]
+    options = ["--suffixes", f"{tmp_path}/suffixes.dat", "--min-pages", "2", "--lang", "en", *more]
     main([f"{tmp_path}/corpus", f"{tmp_path}/out", *options])
 
     read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")

@@ -28,6 +28,7 @@ def parse_args(args: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--min-pages", type=int, default=1000, help="pages a website needs to be charted")
     parser.add_argument("--max-words", type=int, default=2000, help="terms to weigh")
     parser.add_argument("--stop-words", nargs="*", default=[], help="terms to leave out")
+    parser.add_argument("--bucketed", action="store_true", help="write cleaned texts by key; needs a catalog")
     parser.add_argument("--null-as", help="text to use for missing texts")
     return parser.parse_args(args)
 
@@ -45,6 +46,7 @@ def main(args: list[str] | None = None) -> None:
         max_words=options.max_words,
         stop_words=options.stop_words,
         null_as=options.null_as,
+        bucketed=options.bucketed,
     )
     write_tables(tables, options.out, options.out_format)
 

@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from webtally.session import CHECKPOINT_DIR
+from webtally.sources import write_bucketed
 
 
 def shared_folder(df: DataFrame) -> str | None:
@@ -15,16 +16,24 @@ def shared_folder(df: DataFrame) -> str | None:
     return df.sparkSession.conf.get(CHECKPOINT_DIR, None)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back, so that later jobs neither repeat nor depend on its plan.
 
     A Parquet table in the shared folder survives lost executors, is compressed and
     keeps column pruning. Without such a folder the rows are persisted on the
     executors' disks, where Spark recomputes what gets lost.
+
+    ``bucket_by`` buckets the table by a key, which costs one shuffle and spares one in
+    every later match by that key. It needs a catalog to hold the table's name.
     """
-    folder = shared_folder(df)
+    folder, session = shared_folder(df), df.sparkSession
     if folder is None:
         return df.persist(StorageLevel.DISK_ONLY)
-    path = f"{folder.rstrip('/')}/webtally-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    label = f"webtally-{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{label}"
+    if bucket_by is None:
+        df.write.parquet(path)
+        return session.read.schema(df.schema).parquet(path)
+    table = label.replace("-", "_")
+    write_bucketed(df, table, bucket_by, int(session.conf.get("spark.sql.shuffle.partitions")), path)
+    return session.table(table)

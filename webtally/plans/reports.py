@@ -70,13 +70,16 @@ def corpus_report(
     max_words: int = 2000,
     stop_words: Sequence[str] = (),
     null_as: str | None = None,
+    bucketed: bool = False,
 ) -> dict[str, DataFrame]:
     """All report tables of a corpus.
 
     Websites are counted over all rows. Texts are normalised, written once, and then
-    profiled; words are counted over the distinct ones.
+    profiled; words are counted over the distinct ones. With ``bucketed`` they are
+    written by key, so that listing and dropping copies moves no text again.
     """
-    cleaned = materialize(clean_texts(df.select(key, text), text, null_as=null_as), "clean-texts")
+    texts = clean_texts(df.select(key, text), text, null_as=null_as)
+    cleaned = materialize(texts, "clean-texts", bucket_by=key if bucketed else None)
     return {
         "corpus_count": pf.row_count(df),
         "table_profile": pf.table_profile(df),

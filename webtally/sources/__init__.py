@@ -1,4 +1,11 @@
-from webtally.sources.corpus import CORPUS_SCHEMA, read_corpus, select_corpus, write_corpus, write_tables
+from webtally.sources.corpus import (
+    CORPUS_SCHEMA,
+    read_corpus,
+    select_corpus,
+    write_bucketed,
+    write_corpus,
+    write_tables,
+)
 from webtally.sources.suffixes import read_suffix_list, suffix_rules
 
 __all__ = [
@@ -7,6 +14,7 @@ __all__ = [
     "read_suffix_list",
     "select_corpus",
     "suffix_rules",
+    "write_bucketed",
     "write_corpus",
     "write_tables",
 ]

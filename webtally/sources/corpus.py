@@ -77,6 +77,19 @@ def write_corpus(df: DataFrame, path: str, partition_by: Sequence[str] = ("lang"
     df.hint("rebalance", *partition_by).write.mode("overwrite").format(fmt).partitionBy(*partition_by).save(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Save a corpus as a table bucketed by its key, one file per bucket.
+
+    The duplicate operators match rows by key. On such a table they read each bucket
+    where it lies and shuffle digests and keys only, never the texts. Choose
+    ``buckets`` so that one bucket suits one task.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table, format="parquet")
+
+
 def write_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> None:
     """Write each report table (chart data, weights, metrics) to its own folder under ``path``."""
     for name, table in tables.items():
