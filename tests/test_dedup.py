@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from webtally.operators import dedup as dd
+from webtally.operators import dedup as dd, profile as pf
 
 NULLS_AND_TIES = [(1, "a"), (2, None), (3, None), (4, "a"), (5, "b")]
 
@@ -76,6 +76,16 @@ def test_against_pandas(spark, mixed, partitions):
     assert counts.n_rows - counts.n_duplicates == full.count() == dd.dedup_count(df).first().n_rows
 
 
+def test_shared_groups_change_nothing(spark):
+    df = _frame(spark, NULLS_AND_TIES)
+    groups = dd.text_groups(df, "id", "text")
+    for operator in (dd.dedup, dd.duplicate_rows, dd.duplicate_flags, pf.text_profile_first_seen):
+        assert {tuple(r) for r in operator(df, "id", groups=groups).collect()} == {
+            tuple(r) for r in operator(df, "id").collect()
+        }
+    assert dd.duplicate_count(df, groups=groups).first() == dd.duplicate_count(df).first()
+
+
 def test_dedup_is_idempotent(spark, mixed):
     df = _frame(spark, list(zip(mixed.id.tolist(), (None if pd.isna(t) else t for t in mixed.text))))
     once = dd.dedup(df, "id")

@@ -7,6 +7,9 @@ Texts are grouped by digest, in rows of a digest and a key that are combined wit
 each input partition before they are shuffled. Whole rows are then matched with the
 resulting keys. The key is unique, so a text that fills a third of all rows is
 spread like any other, and no task gathers its copies.
+
+Several operators on the same rows can share the ``groups`` of :func:`text_groups`,
+written once, so that the texts are read for their digests a single time.
 """
 
 from __future__ import annotations
@@ -38,25 +41,28 @@ def _hashed(keys: DataFrame) -> DataFrame:
     return keys.hint("shuffle_hash")
 
 
-def dedup(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def dedup(df: DataFrame, key: str, text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """Keep the first row of every distinct text. A text is shuffled once and never sorted."""
-    first = text_groups(df, key, text).select(key)
+    first = (text_groups(df, key, text) if groups is None else groups).select(key)
     return df.join(_hashed(first), key, "left_semi").select(*_columns(df))
 
 
-def duplicate_flags(df: DataFrame, key: str, text: str = "text", flag: str = "is_duplicate") -> DataFrame:
+def duplicate_flags(
+    df: DataFrame, key: str, text: str = "text", flag: str = "is_duplicate", groups: DataFrame | None = None
+) -> DataFrame:
     """Mark every row but the first of its text.
 
     Every row whose key is not the first key of a group is a later copy. The text is
     not shuffled unless the caller selects it.
     """
-    first = text_groups(df, key, text).select(F.col(key), F.lit(True).alias("_first"))
+    first = (text_groups(df, key, text) if groups is None else groups).select(F.col(key), F.lit(True).alias("_first"))
     return df.join(_hashed(first), key, "left").select(*_columns(df), F.col("_first").isNull().alias(flag))
 
 
-def duplicate_count(df: DataFrame, text: str = "text") -> DataFrame:
+def duplicate_count(df: DataFrame, text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """Rows, distinct texts and the rows in excess of them; only digests are shuffled."""
-    groups = df.groupBy(text_digest(text).alias(DIGEST)).agg(F.count("*").alias("copies"))
+    if groups is None:
+        groups = df.groupBy(text_digest(text).alias(DIGEST)).agg(F.count("*").alias("copies"))
     return groups.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("n_rows"),
         F.count("*").alias("n_distinct"),
@@ -68,13 +74,13 @@ def dedup_count(df: DataFrame, text: str = "text") -> DataFrame:
     return duplicate_count(df, text).select(F.col("n_distinct").alias("n_rows"))
 
 
-def duplicate_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def duplicate_rows(df: DataFrame, key: str, text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """All rows whose text occurs more than once, first copies included.
 
     These are the rows left when the texts with a single copy are taken out by key.
     A join with the repeated digests would gather the copies of a text.
     """
-    single = text_groups(df, key, text).where(F.col("copies") == 1).select(key)
+    single = (text_groups(df, key, text) if groups is None else groups).where(F.col("copies") == 1).select(key)
     return df.join(_hashed(single), key, "left_anti").select(*_columns(df))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from webtally.operators.dedup import text_groups
+from webtally.operators.dedup import DIGEST, text_groups
 
 
 def row_count(df: DataFrame, name: str = "n_rows") -> DataFrame:
@@ -67,14 +67,15 @@ def text_profile(df: DataFrame, text: str = "text") -> DataFrame:
     return groups.agg(*_totals(), top.alias("top")).select("count", "unique", "top", "freq")
 
 
-def text_profile_first_seen(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def text_profile_first_seen(
+    df: DataFrame, key: str, text: str = "text", groups: DataFrame | None = None
+) -> DataFrame:
     """The same profile, with the text met first in order of ``key`` as ``top`` of equals.
 
     Texts are grouped by digest. Only the key of the top text leaves the groups, as
     the additional column ``top_key``, and its row is looked up by that key.
     """
-    known = df.where(F.col(text).isNotNull())
-    groups = text_groups(known, key, text)
-    summary = groups.agg(*_totals(), F.min_by(key, F.struct(-F.col("copies"), F.col(key))).alias("top_key"))
-    top = known.where(F.col(key) == summary.select("top_key").scalar()).select(text).scalar()
+    known = (text_groups(df, key, text) if groups is None else groups).where(F.col(DIGEST).isNotNull())
+    summary = known.agg(*_totals(), F.min_by(key, F.struct(-F.col("copies"), F.col(key))).alias("top_key"))
+    top = df.where(F.col(key) == summary.select("top_key").scalar()).select(text).scalar()
     return summary.select("count", "unique", top.alias("top"), "freq", "top_key")

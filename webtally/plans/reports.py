@@ -35,20 +35,29 @@ def clean_texts(
     return df.withColumn(text, pf.cast_string(normalize_text(text, rules), null_as))
 
 
-def duplicate_report(df: DataFrame, key: str, text: str = "text", n_head: int = 10) -> dict[str, DataFrame]:
+def duplicate_report(
+    df: DataFrame, key: str, text: str = "text", n_head: int = 10, groups: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Text profile and exact duplicates of cleaned texts."""
+    repeated = dd.duplicate_rows(df, key, text, groups)
     return {
-        "text_profile": pf.text_profile_first_seen(df, key, text),
-        "duplicate_count": dd.duplicate_count(df, text),
-        "duplicate_head": dd.first_in_text_order(dd.duplicate_rows(df, key, text), key, n_head, text),
+        "text_profile": pf.text_profile_first_seen(df, key, text, groups),
+        "duplicate_count": dd.duplicate_count(df, text, groups),
+        "duplicate_head": dd.first_in_text_order(repeated, key, n_head, text),
     }
 
 
 def word_report(
-    df: DataFrame, key: str, text: str = "text", max_words: int = 2000, n_top: int = 10, stop_words: Sequence[str] = ()
+    df: DataFrame,
+    key: str,
+    text: str = "text",
+    max_words: int = 2000,
+    n_top: int = 10,
+    stop_words: Sequence[str] = (),
+    groups: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Word statistics of the distinct texts, which are written once for all tables."""
-    texts = materialize(dd.dedup(df.select(key, text), key, text), "distinct-texts")
+    texts = materialize(dd.dedup(df.select(key, text), key, text, groups), "distinct-texts")
     hist = materialize(wd.word_count_hist(texts, text), "word-counts")
     return {
         "dedup_count": pf.row_count(texts),
@@ -74,16 +83,17 @@ def corpus_report(
 ) -> dict[str, DataFrame]:
     """All report tables of a corpus.
 
-    Websites are counted over all rows. Texts are normalised, written once, and then
-    profiled; words are counted over the distinct ones. With ``bucketed`` they are
+    Websites are counted over all rows. Texts are normalised and grouped, both written
+    once, and then profiled; words are counted over the distinct ones. With ``bucketed`` they are
     written by key, so that listing and dropping copies moves no text again.
     """
     texts = clean_texts(df.select(key, text), text, null_as=null_as)
     cleaned = materialize(texts, "clean-texts", bucket_by=key if bucketed else None)
+    groups = materialize(dd.text_groups(cleaned, key, text), "text-groups")
     return {
         "corpus_count": pf.row_count(df),
         "table_profile": pf.table_profile(df),
         **website_report(df, rules, url, minimum),
-        **duplicate_report(cleaned, key, text),
-        **word_report(cleaned, key, text, max_words, stop_words=stop_words),
+        **duplicate_report(cleaned, key, text, groups=groups),
+        **word_report(cleaned, key, text, max_words, stop_words=stop_words, groups=groups),
     }
