@@ -104,7 +104,8 @@ def test_copies_of_one_text_stay_spread(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         other = F.sha2(F.col("id").cast("string"), 256)
-        df = spark.range(0, 40000, 1, 8).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(other).alias("text"))
+        text = F.when(F.col("id") % 2 == 0, "hot").otherwise(other)
+        df = spark.range(0, 40000, 1, 8).select("id", text.alias("text"))
         assert dd.duplicate_rows(df, "id").count() == 20000
         assert _largest_share(dd.duplicate_rows(df, "id")) < 0.2
         assert _largest_share(dd.duplicate_flags(df, "id")) < 0.2

@@ -85,7 +85,11 @@ def test_without_rules_the_last_label_is_the_domain(spark, hosts):
 
 
 def test_internationalised_suffixes(spark):
-    cases = {"www.xn--e1afmkfd.xn--p1ai": "xn--e1afmkfd.xn--p1ai", "www.пример.рф": "пример.рф", "a.b.com": "b.com"}
+    cases = {
+        "www.xn--e1afmkfd.xn--p1ai": "xn--e1afmkfd.xn--p1ai",
+        "www.пример.рф": "пример.рф",
+        "a.b.com": "b.com",
+    }
     hosts = spark.createDataFrame([(h,) for h in cases], "host string")
     got = ws.with_website(hosts, suffix_rules(spark, ("com", "рф"))).collect()
     assert {r.host: r.website for r in got} == cases
