@@ -250,6 +250,23 @@ def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wd.term_weights(_distinct_texts(spark, sf_dir), 2000, STOP_WORDS)
 
 
+# The training-data operators live in a subpackage of their own, and may be absent.
+try:
+    from webtally.llm import queries as training_data
+except ModuleNotFoundError as missing:
+    if not str(missing.name).startswith("webtally.llm"):
+        raise
+    TRAINING_DATA_QUERIES, TRAINING_DATA_SQL = {}, {}
+else:
+    TRAINING_DATA_QUERIES, TRAINING_DATA_SQL = training_data.queries(), training_data.ORACLE_SQL
+try:
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline" and not str(missing.name).startswith("webtally.llm"):
+        raise
+else:
+    TRAINING_DATA_QUERIES = TRAINING_DATA_QUERIES | {"pipeline": corpus_pipeline.run}
+
 QUERIES = (
     corpus_select, corpus_count, corpus_head, meta_flatten, meta_head,
     url_host, page_website, page_website_wildcard,
@@ -265,7 +282,7 @@ QUERIES = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator: (spark, sf_dir) -> DataFrame over the whole tables."""
-    return {query.__name__: query for query in QUERIES}
+    return {query.__name__: query for query in QUERIES} | TRAINING_DATA_QUERIES
 
 
 # ---------------------------------------------------------------- SQL counterparts
@@ -312,7 +329,7 @@ SQL_NORMALIZED = rf"""translate(
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same columns and rows as the query of the same name."""
-    return {
+    return TRAINING_DATA_SQL | {
         "corpus_select": "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE lang = 'fr'",
         "corpus_count": "SELECT count(*) AS n_rows FROM documents",
         "corpus_head": "SELECT doc_id, text, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5",
