@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from webtally.llm import bpe, line_dedup
+from webtally.llm import bpe, line_dedup, secret_scan
 
 # Place of the vocabulary files of public tokenizers; none of them is part of this package.
 TOKENIZERS = "/opt/tokenizers"
@@ -16,6 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _number_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def _span_digests(found: DataFrame, base: list[str]) -> DataFrame:
+    """Numbers of base spans by kind, their digest, and all spans, from ``doc_id, spans``."""
+    spans = F.col("spans")
+    own = F.filter(spans, lambda x: x["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *[_number_of(spans, kind) for kind in base],
+        F.sha2(secret_scan.written(own), 256).alias("base_sha256"),
+        secret_scan.written(spans).alias("spans"),
+    )
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return _span_digests(found, [rule.kind for rule in secret_scan.BASE_RULES])
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -51,7 +72,7 @@ SQL_LINE_DEDUP = r"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
     FROM marked GROUP BY doc_id"""
 
-QUERIES = (op8_bpe, op10_line_dedup)
+QUERIES = (op2_secret_scan, op8_bpe, op10_line_dedup)
 
 ORACLE_SQL = {"op10_line_dedup": SQL_LINE_DEDUP}
 
