@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from webtally.llm import bpe, line_dedup, ngram_join, pivot_index, secret_scan
+from webtally.llm import bpe, decontaminate, line_dedup, ngram_join, pivot_index, secret_scan
 
 # Place of the vocabulary files of public tokenizers; none of them is part of this package.
 TOKENIZERS = "/opt/tokenizers"
@@ -41,6 +41,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(found, [rule.kind for rule in secret_scan.BASE_RULES])
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -80,7 +84,7 @@ SQL_LINE_DEDUP = r"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
     FROM marked GROUP BY doc_id"""
 
-QUERIES = (op1_ngram_join, op2_secret_scan, op6_pivot_index, op8_bpe, op10_line_dedup)
+QUERIES = (op1_ngram_join, op2_secret_scan, op4_decontaminate, op6_pivot_index, op8_bpe, op10_line_dedup)
 
 ORACLE_SQL = {"op10_line_dedup": SQL_LINE_DEDUP}
 

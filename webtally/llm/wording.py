@@ -15,8 +15,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 BLOCK = 1 << 20
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+# Blanks and ASCII punctuation: leaves letters, digits and everything beyond ASCII.
+NOT_LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _VALUE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
@@ -42,9 +44,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _known_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 
-def _block_words(data: np.ndarray, starts_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_words(data: np.ndarray, starts_text: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of the words in a block of bytes; ``starts_text`` marks the first byte of each text."""
-    inside = ~_BLANK[data]
+    inside = ~blank[data]
     before = np.empty_like(inside)
     before[0] = False
     np.logical_and(inside[:-1], ~starts_text[1:], out=before[1:])
@@ -60,9 +62,10 @@ def _block_words(data: np.ndarray, starts_text: np.ndarray) -> tuple[np.ndarray,
     return mixed((sums[end] - sums[start]) * down[start]), start, end
 
 
-def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def words_of(texts: pa.Array, blank: np.ndarray = BLANK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of a string column: first row, number of rows, and per word its hash, its row in
-    the block and its first byte in the text. NULL counts as empty. Every text is whole in one block."""
+    the block and its first byte in the text. NULL counts as empty. Every text is whole in one block.
+    ``blank`` says which of the 256 bytes are between words."""
     texts = texts.cast(pa.large_string())
     n = len(texts)
     if not n:
@@ -82,7 +85,7 @@ def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             block = data[offsets[at] : offsets[to]]
             marks = np.zeros(size + 1, bool)
             marks[bounds[:-1]] = True
-            hashes, start, _ = _block_words(block, marks[:-1])
+            hashes, start, _ = _block_words(block, marks[:-1], blank)
             rows = np.searchsorted(bounds, start, side="right") - 1
             yield at, to - at, hashes, rows, start - bounds[rows]
         at = to
