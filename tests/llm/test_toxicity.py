@@ -1,0 +1,100 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from webtally.llm import queries, toxicity
+from webtally.llm.toxicity import clean_documents, score
+
+INSULTS = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "loser", "scum", "moron"}
+
+
+def test_query_finds_the_toxic_documents(spark):
+    """English documents are toxic if they have one of a few words, labelled or not; others have stems of their own."""
+    folder = "/root/testdata/sf0.1"
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in documents.where("lang = 'en'").collect()}
+    rows = queries.op3_toxicity(spark, folder).collect()
+    assert len(rows) == documents.count()
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    agree = [labels[r["doc_id"]] == r["toxic"] for r in rows if r["doc_id"] in labels]
+    assert sum(agree) >= 0.99 * len(agree)
+    rows = [r for r in rows if r["doc_id"] in texts]
+    truth = {i for i, t in texts.items() if INSULTS & set(re.findall("[a-z]+", t.lower()))}
+    found = {r["doc_id"] for r in rows if r["toxic"]}
+    assert len(found & truth) >= 0.98 * len(truth)
+    assert len(found - truth) <= 0.005 * len(texts)
+    assert all(0 <= r[p] <= 1 for r in rows for p in ("p_low_quality", "p_toxic"))
+
+
+def test_fit_reaches_the_optimum():
+    rng = np.random.default_rng(1)
+    n, m = 400, 6
+    x = rng.random((n, m)) < 0.3
+    row, word = np.nonzero(x)
+    earlier = rng.normal(size=(n, 1))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x @ rng.normal(size=m) * 2 + earlier[:, 0] - 0.5)))).astype(float)
+    model = toxicity.fit(row, word, earlier, y, m)
+    p = 1 / (1 + np.exp(-(x @ model.words + earlier @ model.earlier + model.intercept)))
+    assert abs((p - y).sum()) < 0.05
+    assert np.abs(x.T @ (p - y) + toxicity.PENALTY * model.words).max() < 0.05
+
+
+def planted(rng, n, category_words):
+    docs, labels = [], []
+    for i in range(n):
+        words = [f"w{rng.randrange(200)}" for _ in range(rng.randrange(5, 80))]
+        flags = []
+        for w in category_words:
+            flags.append(int(rng.random() < 0.3))
+            if flags[-1]:
+                words[rng.randrange(len(words))] = w
+        docs.append((i, " ".join(words)))
+        labels.append((i, *(f if rng.random() < 0.97 else 1 - f for f in flags)))
+    return docs, labels
+
+
+def test_later_categories_learn_from_earlier_ones(spark):
+    """The second category has no words of its own: it is the first one, seen with noise."""
+    rng = random.Random(2)
+    docs, labels = planted(rng, 1500, ["bad"])
+    labels = [(i, a, a if rng.random() < 0.95 else 1 - a) for i, a in labels]
+    d, names = spark.createDataFrame(docs, "doc_id bigint, text string"), ("first", "second")
+    chain = toxicity.train(d, spark.createDataFrame(labels, "doc_id bigint, first int, second int"), names)
+    assert chain.models[0].earlier.shape == (0,) and chain.models[1].earlier[0] > 0.1
+    rows = score(d, spark.createDataFrame(labels, "doc_id bigint, first int, second int"), names).collect()
+    texts = dict(docs)
+    right = sum((r["p_second"] >= 0.5) == ("bad" in texts[r["doc_id"]].split()) for r in rows)
+    assert right >= 0.99 * len(rows)
+
+
+def test_sample_is_bounded_and_repeatable(spark):
+    docs, labels = planted(random.Random(3), 400, ["bad"])
+    d, l = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    assert toxicity._labelled(d, l, ["toxic"], 100).count() == 100
+    one, two = (toxicity.train(d, l, ["toxic"], most=300) for _ in range(2))
+    assert one.hashes.tolist() == two.hashes.tolist() and (one.models[0].words == two.models[0].words).all()
+
+
+def test_edge_cases(spark):
+    docs, labels = planted(random.Random(4), 500, ["bad"])
+    more = [(None, "bad w1"), (1000, None), (1001, ""), (1002, "BAD! " * 50_000), (1002, "w1 w2"), (1003, "--\n--")]
+    labels += [(None, 1), (0, None), (1, 1), (1, 0), (5000, 1)]
+    d = spark.createDataFrame([(*x, "z") for x in docs + more], "doc_id bigint, text string, p_toxic string")
+    l = spark.createDataFrame([(*x, 0) for x in labels], "doc_id bigint, toxic int, own int")
+    rows = score(d, l, ["toxic"]).collect()
+    assert len(rows) == len(docs) + len(more)
+    got = sorted(((r["doc_id"], r["p_toxic"] >= 0.5) for r in rows if r["doc_id"] is None or r["doc_id"] >= 1000), key=str)
+    assert got == [(1000, False), (1001, False), (1002, False), (1002, True), (1003, False), (None, True)]
+    kept = clean_documents(d, l, ["toxic"], "toxic")
+    assert kept.columns == d.columns and kept.where("text LIKE '%bad%'").count() == 0
+    assert kept.where("doc_id >= 1000").count() == 4
+    assert score(d.limit(0), l, ["toxic"]).count() == 0
+
+
+@pytest.mark.parametrize(("labels", "expected"), [([], 0.0), ([(1, 0)], 0.0), ([(1, 1), (2, 1)], 1.0)])
+def test_without_two_kinds_of_labels(spark, labels, expected):
+    d = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id bigint, text string")
+    rows = score(d, spark.createDataFrame(labels, "doc_id bigint, toxic int"), ["toxic"]).collect()
+    assert [r["p_toxic"] for r in rows] == pytest.approx([expected] * 2, abs=1e-9)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from webtally.llm import bpe, decontaminate, line_dedup, ngram_join, pivot_index, secret_scan
+from webtally.llm import bpe, decontaminate, line_dedup, ngram_join, pivot_index, secret_scan, toxicity
 
 # Place of the vocabulary files of public tokenizers; none of them is part of this package.
 TOKENIZERS = "/opt/tokenizers"
@@ -41,6 +41,19 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(found, [rule.kind for rule in secret_scan.BASE_RULES])
 
 
+# The chain: whether a document is of low quality, then whether it is toxic.
+CATEGORIES = ("low_quality", "toxic")
+
+
+def categories(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score(table(spark, sf_dir, "documents"), categories(table(spark, sf_dir, "labels")), CATEGORIES)
+    return scores.withColumn("toxic", F.col("p_toxic") >= toxicity.LIMIT)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,7 +97,7 @@ SQL_LINE_DEDUP = r"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
     FROM marked GROUP BY doc_id"""
 
-QUERIES = (op1_ngram_join, op2_secret_scan, op4_decontaminate, op6_pivot_index, op8_bpe, op10_line_dedup)
+QUERIES = (op1_ngram_join, op2_secret_scan, op3_toxicity, op4_decontaminate, op6_pivot_index, op8_bpe, op10_line_dedup)
 
 ORACLE_SQL = {"op10_line_dedup": SQL_LINE_DEDUP}
 

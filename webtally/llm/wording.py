@@ -5,7 +5,7 @@ A word is a run of anything but the blanks space and x09 to x0D, with A-Z in low
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _known_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 
-def _block_words(data: np.ndarray, starts_text: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of the words in a block of bytes; ``starts_text`` marks the first byte of each text."""
+def _block_words(
+    data: np.ndarray, starts_text: np.ndarray, blank: np.ndarray, stems: Sequence[int]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of the words in a block of bytes; ``starts_text`` marks the first byte of each text.
+
+    Longer words are followed by their beginnings of so many bytes as ``stems`` says, as if they were words too.
+    """
     inside = ~blank[data]
     before = np.empty_like(inside)
     before[0] = False
@@ -59,13 +64,26 @@ def _block_words(data: np.ndarray, starts_text: np.ndarray, blank: np.ndarray) -
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start]), start, end
-
-
-def words_of(texts: pa.Array, blank: np.ndarray = BLANK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    hashes = mixed((sums[end] - sums[start]) * down[start])
+    if not stems:
+        return hashes, start, end
+    parts = [(hashes, start, end)]
+    for size in stems:
+        longer = start[end - start > size]
+        stem = mixed((sums[longer + size] - sums[longer]) * down[longer] + np.uint64(size))
+        parts.append((stem, longer, longer + size))
+    hashes, start, end = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(start, kind="stable")
+    return hashes[order], start[order], end[order]
+
+
+def words_of(
+    texts: pa.Array, blank: np.ndarray = BLANK, stems: Sequence[int] = ()
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of a string column: first row, number of rows, and per word its hash, its row in
     the block and its first byte in the text. NULL counts as empty. Every text is whole in one block.
-    ``blank`` says which of the 256 bytes are between words."""
+    ``blank`` says which of the 256 bytes are between words; with ``stems`` the beginnings of longer
+    words of so many bytes are given as well."""
     texts = texts.cast(pa.large_string())
     n = len(texts)
     if not n:
@@ -85,7 +103,7 @@ def words_of(texts: pa.Array, blank: np.ndarray = BLANK) -> Iterator[tuple[int,
             block = data[offsets[at] : offsets[to]]
             marks = np.zeros(size + 1, bool)
             marks[bounds[:-1]] = True
-            hashes, start, _ = _block_words(block, marks[:-1], blank)
+            hashes, start, _ = _block_words(block, marks[:-1], blank, stems)
             rows = np.searchsorted(bounds, start, side="right") - 1
             yield at, to - at, hashes, rows, start - bounds[rows]
         at = to
