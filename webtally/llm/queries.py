@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from webtally.llm import bpe, decontaminate, line_dedup, ngram_join, pivot_index, secret_scan, toxicity
+from webtally.llm import bpe, decontaminate, language_id, line_dedup, ngram_join, pivot_index, secret_scan, toxicity
 
 # Place of the vocabulary files of public tokenizers; none of them is part of this package.
 TOKENIZERS = "/opt/tokenizers"
@@ -58,6 +58,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -97,7 +101,7 @@ SQL_LINE_DEDUP = r"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
     FROM marked GROUP BY doc_id"""
 
-QUERIES = (op1_ngram_join, op2_secret_scan, op3_toxicity, op4_decontaminate, op6_pivot_index, op8_bpe, op10_line_dedup)
+QUERIES = (op1_ngram_join, op2_secret_scan, op3_toxicity, op4_decontaminate, op5_language_id, op6_pivot_index, op8_bpe, op10_line_dedup)
 
 ORACLE_SQL = {"op10_line_dedup": SQL_LINE_DEDUP}
 
