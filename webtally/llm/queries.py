@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from webtally.llm import bpe, decontaminate, language_id, line_dedup, ngram_join, pivot_index, secret_scan, toxicity
+from webtally.llm import bpe, decontaminate, kneser_ney, language_id, line_dedup, ngram_join, pivot_index, secret_scan, toxicity
 
 # Place of the vocabulary files of public tokenizers; none of them is part of this package.
 TOKENIZERS = "/opt/tokenizers"
@@ -66,6 +66,10 @@ def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -101,7 +105,7 @@ SQL_LINE_DEDUP = r"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
     FROM marked GROUP BY doc_id"""
 
-QUERIES = (op1_ngram_join, op2_secret_scan, op3_toxicity, op4_decontaminate, op5_language_id, op6_pivot_index, op8_bpe, op10_line_dedup)
+QUERIES = (op1_ngram_join, op2_secret_scan, op3_toxicity, op4_decontaminate, op5_language_id, op6_pivot_index, op7_kneser_ney, op8_bpe, op10_line_dedup)
 
 ORACLE_SQL = {"op10_line_dedup": SQL_LINE_DEDUP}
 
