@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from webtally.llm import bpe, decontaminate, kneser_ney, language_id, line_dedup, ngram_join, pivot_index, secret_scan, toxicity
+from webtally.llm import (
+    bpe,
+    decontaminate,
+    kneser_ney,
+    language_id,
+    line_dedup,
+    ngram_join,
+    pii,
+    pivot_index,
+    secret_scan,
+    toxicity,
+)
 
 # Place of the vocabulary files of public tokenizers; none of them is part of this package.
 TOKENIZERS = "/opt/tokenizers"
@@ -74,6 +85,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.find(table(spark, sf_dir, "documents")), list(pii.KINDS))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(documents).select(
@@ -105,7 +120,10 @@ SQL_LINE_DEDUP = r"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
     FROM marked GROUP BY doc_id"""
 
-QUERIES = (op1_ngram_join, op2_secret_scan, op3_toxicity, op4_decontaminate, op5_language_id, op6_pivot_index, op7_kneser_ney, op8_bpe, op10_line_dedup)
+QUERIES = (
+    op1_ngram_join, op2_secret_scan, op3_toxicity, op4_decontaminate, op5_language_id,
+    op6_pivot_index, op7_kneser_ney, op8_bpe, op9_pii, op10_line_dedup,
+)
 
 ORACLE_SQL = {"op10_line_dedup": SQL_LINE_DEDUP}
 
