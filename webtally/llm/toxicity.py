@@ -35,10 +35,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webtally.llm.wording import NOT_LETTERS, per_row, words_of
 from webtally.llm.workspace import keyed_texts, ship_package, slices, stored
 
-MAX_LABELLED = 50_000
+MAX_LABELLED = 12_000
 # Bytes of the beginnings of words, which stand for all their endings.
 STEMS = (4, 5, 6, 7)
-MAX_WORDS = 4096
+MAX_WORDS = 1024
 MIN_DOCS = 5
 EVIDENCE = 25.0
 FOLDS = 3
@@ -160,7 +160,7 @@ def fit(row: np.ndarray, word: np.ndarray, earlier: np.ndarray, y: np.ndarray, n
     x[-1] = np.log(positive / (n - positive))
     loss, gradient = value(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(200):
+    for _ in range(100):
         q, used = gradient.copy(), []
         for s, d in reversed(steps):
             a = (s @ q) / (s @ d)
@@ -182,7 +182,7 @@ def fit(row: np.ndarray, word: np.ndarray, earlier: np.ndarray, y: np.ndarray, n
         s, d = new - x, new_gradient - gradient
         if s @ d > 1e-12:
             steps = [*steps[-9:], (s, d)]
-        done = loss - new_loss < 1e-7 * max(1.0, abs(loss))
+        done = loss - new_loss < 1e-6 * max(1.0, abs(loss))
         x, loss, gradient = new, new_loss, new_gradient
         if done:
             break
@@ -206,24 +206,24 @@ def train(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield pa.record_batch(
-                [part["own"], pa.array(_used(part["text"], hashes), pa.list_(pa.int64())), part["fold"]],
-                names=["own", "words", "fold"],
+                [part["own"], pa.array([x.astype(np.int32) for x in _used(part["text"], hashes)], pa.list_(pa.int32())), part["place"]],
+                names=["own", "words", "place"],
             )
 
-    # Copies of a text are in one fold.
-    folded = labelled.select("own", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
-    used = folded.mapInArrow(rows, "own array<int>, words array<bigint>, fold int").toArrow()  # ``most`` rows
-    y = np.array(used["own"].to_pylist(), np.float64).reshape(-1, len(categories))
-    lists, fold = used["words"].to_pylist(), used["fold"].to_numpy()
-    order = sorted(range(len(lists)), key=lambda i: (lists[i], y[i].tolist(), fold[i]))
-    y, fold, lists = y[order], fold[order], [lists[i] for i in order]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    word = np.array([w for x in lists for w in x], np.int64)
-
-    models, earlier = [], np.zeros((len(lists), 0))
+    # Copies of a text are in one fold. ``most`` rows of a few numbers each come to the driver.
+    placed = labelled.select("own", "text", F.xxhash64("text", "own").alias("place"))
+    used = placed.mapInArrow(rows, "own array<int>, words array<int>, place bigint").toArrow().combine_chunks()
+    used = used.sort_by("place")
+    y = used["own"].combine_chunks().flatten().to_numpy().reshape(-1, len(categories)).astype(np.float64)
+    words = used["words"].combine_chunks()
+    word = words.flatten().to_numpy()
+    row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+    fold = used["place"].to_numpy() % FOLDS
+
+    models, earlier = [], np.zeros((len(words), 0))
     for c in range(len(categories)):
         own = told[c][word]
-        unseen = np.zeros(len(lists))
+        unseen = np.zeros(len(words))
         for k in range(FOLDS):
             mine = fold == k
             number = np.cumsum(~mine) - 1
