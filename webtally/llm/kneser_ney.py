@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webtally.llm.wording import mixed, words_of
-from webtally.llm.workspace import keyed_texts, new_folder, ship_package, slices, stored
+from webtally.llm.workspace import keyed_texts, new_folder, ship_package, slices
 
 # The hashes of the end and of what stands before the first word.
 END = np.uint64(0x656E64206F662074)
@@ -44,8 +44,8 @@ START = np.uint64(0x7374617274206F66)
 CONTEXT_BITS = 20
 SEGMENT_TOKENS = 2_000_000
 # Text that a task counts or scores at once.
-COUNTED_BYTES = 24 << 20
-SCORED_BYTES = 16 << 20
+COUNTED_BYTES = 8 << 20
+SCORED_BYTES = 6 << 20
 HOT_SHARE = 1 / 256
 HOT_SAMPLE = 2000
 
@@ -129,30 +129,39 @@ def _tokens(texts: pa.ChunkedArray) -> Tokens:
 
 
 def _dealt(records: np.ndarray, segment: np.ndarray) -> pa.RecordBatch:
-    """One row per segment, with its records as bytes."""
+    """One row per segment, with its records as bytes, field after field."""
     order = np.argsort(segment, kind="stable")
     records, segment = records[order], segment[order]
     first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(segment) else []
-    blobs = [part.tobytes() for part in np.split(records, first[1:])] if len(segment) else []
+    parts = np.split(records, first[1:]) if len(segment) else []
+    blobs = [b"".join(part[name].tobytes() for name in records.dtype.names) for part in parts]
     return pa.record_batch(
         [pa.array(segment[first] if len(segment) else [], pa.int32()), pa.array(blobs, pa.binary())],
         names=["segment", "records"],
     )
 
 
+def _records(blob: bytes, kind: np.dtype) -> np.ndarray:
+    records, at = np.empty(len(blob) // kind.itemsize, kind), 0
+    for name in kind.names:
+        records[name] = np.frombuffer(blob, kind[name], len(records), at)
+        at += len(records) * kind[name].itemsize
+    return records
+
+
 def _owned(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[int, np.ndarray]]:
     """The records of each segment of a partition, whole."""
-    held: list[bytes] = []
+    held: list[np.ndarray] = []
     last = None
     for batch in batches:
-        for segment, records in zip(batch["segment"].to_pylist(), batch["records"].to_pylist()):
+        for segment, blob in zip(batch["segment"].to_pylist(), batch["records"].to_pylist()):
             if held and segment != last:
-                yield last, np.frombuffer(b"".join(held), kind)
+                yield last, np.concatenate(held)
                 held = []
-            held.append(records)
+            held.append(_records(blob, kind))
             last = segment
     if held:
-        yield last, np.frombuffer(b"".join(held), kind)
+        yield last, np.concatenate(held)
 
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
@@ -208,8 +217,11 @@ class Model(NamedTuple):
         bounds = np.searchsorted(segment_of(hashes, self.segments), np.arange(self.segments + 1))
         for s in np.flatnonzero(np.diff(bounds)).tolist():
             data = _mapped(self.folder, f"bigrams-{s}")
-            n = len(data) // 12
-            own, counts = data[: 8 * n].view(np.uint64), data[8 * n :].view(np.uint32)
+            if not len(data):
+                continue
+            n = int(data[:8].view(np.uint64)[0])
+            own, counts = data[8 : 8 + 8 * n].view(np.uint64), data[8 + 8 * n :]
+            counts = counts.view(f"<u{len(counts) // n}")
             wanted = hashes[bounds[s] : bounds[s + 1]]
             at = np.searchsorted(own, wanted)
             hit = np.flatnonzero(at < n)
@@ -295,7 +307,8 @@ def train(texts: DataFrame) -> Model:
         for segment, records in _owned(batches, BIGRAM):
             hashes = bigram_hash(records["context"], records["word"], hot)
             keys, n = _added(hashes, records["n"].astype(np.int64))
-            _write(folder, f"bigrams-{segment}", keys, n.astype(np.uint32))
+            width = next(w for w in (2, 4, 8) if int(n.max()) < 1 << 8 * w)
+            _write(folder, f"bigrams-{segment}", np.array([len(keys)], np.uint64), keys, n.astype(f"<u{width}"))
             order = np.argsort(hashes, kind="stable")
             one = order[np.searchsorted(hashes[order], keys)]
             context, word = records["context"][one], records["word"][one]
@@ -308,12 +321,21 @@ def train(texts: DataFrame) -> Model:
                 own[name] = np.bincount(at[kept], minlength=len(words))
             own["before"] = np.bincount(np.searchsorted(words, word), minlength=len(words))
             dealt = _dealt(own, segment_of(mixed(words), segments))
-            types = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]
+            types = [int((n == k).sum()) for k in (1, 2, 3, 4)]
             counts = pa.array([types] + [None] * (dealt.num_rows - 1), pa.list_(pa.int64()))
             yield pa.record_batch([*dealt.columns, counts], names=["segment", "records", "types"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, records in _owned(batches, WORD):
+        types = np.zeros(4, np.int64)
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some in batch["types"].to_pylist():
+                    if some:
+                        types[:] += some
+                yield batch
+
+        for segment, records in _owned(noted(), WORD):
             words, at = np.unique(records["word"], return_inverse=True)
             own = np.zeros(len(words), WORD)
             own["word"] = words
@@ -325,23 +347,22 @@ def train(texts: DataFrame) -> Model:
             start = int(own["total"][~token].sum())
             found = [int((before == k).sum()) for k in (1, 2, 3, 4)]
             found += [int((before > 0).sum()), int(before.sum()), int(token.sum()), start, int(own["total"][token].sum())]
-            yield pa.record_batch([pa.array([found], pa.list_(pa.int64()))], names=["found"])
+            yield pa.record_batch([pa.array([found + [0] * 4], pa.list_(pa.int64()))], names=["found"])
+        yield pa.record_batch([pa.array([[0] * 9 + types.tolist()], pa.list_(pa.int64()))], names=["found"])
 
     def by_segment(df: DataFrame) -> DataFrame:
         return df.repartition("segment").sortWithinPartitions("segment")
 
     counted = by_segment(texts.select("text").mapInArrow(count, "segment int, records binary"))
-    added = stored(counted.mapInArrow(add_up, "segment int, records binary, types array<bigint>"), "word-statistics")
-    sums = lambda name, k: [F.coalesce(F.sum(F.col(name)[i]), F.lit(0)) for i in range(k)]
-    types = list(added.agg(*sums("types", 5)).first())
-    gathered = by_segment(added.select("segment", "records")).mapInArrow(gather, "found array<bigint>")
-    found = list(gathered.agg(*sums("found", 9)).first())
+    added = by_segment(counted.mapInArrow(add_up, "segment int, records binary, types array<bigint>"))
+    gathered = added.mapInArrow(gather, "found array<bigint>")
+    found = list(gathered.agg(*[F.coalesce(F.sum(F.col("found")[i]), F.lit(0)) for i in range(13)]).first())
     word_discounts = _discounts(found[:4])
     kinds = [found[0], found[1], max(0, found[4] - found[0] - found[1])]
     rest = sum(d * k for d, k in zip(word_discounts, kinds)) / found[5] if found[5] else 1.0
     documents = found[7]  # every text has one first word or end, which follows the start
     return Model(
-        folder, segments, hot, found[8] + documents, found[6], documents, _discounts(types[:4]), word_discounts, found[5], rest
+        folder, segments, hot, found[8] + documents, found[6], documents, _discounts(found[9:]), word_discounts, found[5], rest
     )
 
 
