@@ -10,7 +10,7 @@ from webtally.functions import host_name, normalize_text, unify_numerals
 from webtally.operators import dedup as dd, frequency as fq, profile as pf, websites as ws, words as wd
 from webtally.plans.materialize import materialize
 from webtally.plans.reports import clean_texts
-from webtally.sources import read_corpus, suffix_rules
+from webtally.sources import read_corpus, suffix_rules, with_input_order
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
@@ -75,9 +75,7 @@ def _websites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arabic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Normalising is all processor work, and a small table may come as one split.
-    documents = _documents(spark, sf_dir, min_partitions=spark.sparkContext.defaultParallelism)
-    return documents.select("doc_id", "text").withColumn("text", F.translate("text", LATIN_LETTERS, ARABIC_LETTERS))
+    return _documents(spark, sf_dir).select("doc_id", "text").withColumn("text", F.translate("text", LATIN_LETTERS, ARABIC_LETTERS))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -215,6 +213,12 @@ def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dd.dedup(_documents(spark, sf_dir), "doc_id")
 
 
+def dedup_input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First copies in order of the files, without a key column in the table."""
+    texts = with_input_order(_documents(spark, sf_dir).drop("doc_id"))
+    return dd.dedup(texts, "input_order").drop("input_order")
+
+
 def dedup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dd.dedup_count(_texts(spark, sf_dir))
 
@@ -274,7 +278,7 @@ QUERIES = (
     host_threshold,
     text_normalize, numeral_unify, cast_string, normalized_dedup,
     text_profile, text_profile_first_seen, table_profile,
-    duplicate_flag, duplicate_count, duplicate_rows, duplicate_head, dedup, dedup_count,
+    duplicate_flag, duplicate_count, duplicate_rows, duplicate_head, dedup, dedup_input_order, dedup_count,
     tokens_head, token_counts, top_tokens, top_tokens_first_seen,
     word_count_hist, word_count_stats, term_weights,
 )
@@ -419,6 +423,10 @@ def oracle_sql() -> dict[str, str]:
         "dedup": """
             SELECT doc_id, text, lang, source, n_chars FROM documents
             QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
+        # doc_id grows with the place in the file
+        "dedup_input_order": """
+            SELECT text, lang, source, n_chars FROM documents
+            QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
         "dedup_count": "SELECT count(DISTINCT text) AS n_rows FROM documents",
         "tokens_head": rf"""
             WITH {SQL_DISTINCT}

@@ -114,3 +114,16 @@ def test_copies_of_one_text_stay_spread(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_null_and_repeated_keys_fail_instead_of_losing_rows(spark):
+    from webtally.plans.reports import word_report
+
+    nulls = spark.createDataFrame([(None, "a"), (2, "b")], "id bigint, text string")
+    with pytest.raises(Exception, match="NULL in the key column"):
+        dd.dedup(nulls, "id").collect()
+    repeated = spark.createDataFrame([(1, "a"), (1, "a"), (2, "c")], "id bigint, text string")
+    with pytest.raises(Exception, match="are repeated"):
+        word_report(repeated, "id")["dedup_count"].collect()
+    strings = spark.createDataFrame([("x", "a"), ("y", "a"), ("z", "c")], "id string, text string")
+    assert word_report(strings, "id")["dedup_count"].first()["n_rows"] == 2

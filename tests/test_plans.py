@@ -20,7 +20,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(q.__name__ for q in contract.QUERIES))
 def test_no_python_and_no_cross_join(spark, sf_dir, name):
     plan = _plan(QUERIES[name](spark, sf_dir))
     for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin", "Scan ExistingRDD"):

@@ -85,10 +85,15 @@ def test_report_tables(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/b").count() == 2
 
 
-def test_min_partitions_only_spreads_inputs_with_fewer_splits(spark, tmp_path):
-    spark.range(0, 100, 1, 1).write.parquet(f"{tmp_path}/one")
-    assert read_corpus(spark, f"{tmp_path}/one", min_partitions=6).rdd.getNumPartitions() == 6
-    spark.range(0, 100, 1, 4).write.parquet(f"{tmp_path}/four")
-    plain = read_corpus(spark, f"{tmp_path}/four")
-    kept = read_corpus(spark, f"{tmp_path}/four", min_partitions=2)
-    assert kept.rdd.getNumPartitions() == plain.rdd.getNumPartitions()
+def test_unmarked_suffix_list_is_refused_or_taken_whole(spark, tmp_path):
+    (tmp_path / "list.dat").write_text("com\nco.uk\n")
+    with pytest.raises(ValueError, match="no ICANN section"):
+        read_suffix_list(spark, str(tmp_path / "list.dat"))
+    rules = read_suffix_list(spark, str(tmp_path / "list.dat"), marked=False)
+    assert {tuple(r) for r in rules.collect()} == {("com", "std"), ("co.uk", "std")}
+
+
+def test_ids_of_another_type_fail_the_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "x1", "text": "a"}\n')
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST|parse"):
+        read_corpus(spark, str(tmp_path), "json").collect()

@@ -27,7 +27,8 @@ class ReplaceRegex(NamedTuple):
     """Replace every match of a Java regular expression.
 
     ``only_if`` is a string that every match contains. Texts without it are passed
-    on after a plain search, which is several times cheaper than the expression.
+    on after a plain search, which is several times cheaper than the expression. A
+    string that some match lacks changes the result.
     """
 
     pattern: str
@@ -67,10 +68,14 @@ def _apply(text: Column, rule: Rule) -> Column:
         return F.translate(text, rule.source, rule.target)
     if isinstance(rule, Replace):
         return F.replace(text, F.lit(rule.source), F.lit(rule.target))
-    replaced = F.regexp_replace(text, rule.pattern, rule.replacement)
     if rule.only_if is None:
-        return replaced
-    return F.when(text.contains(rule.only_if), replaced).otherwise(text)
+        return F.regexp_replace(text, rule.pattern, rule.replacement)
+
+    def guarded(t: Column) -> Column:
+        return F.when(t.contains(rule.only_if), F.regexp_replace(t, rule.pattern, rule.replacement)).otherwise(t)
+
+    # The text so far is bound once: used three times it would triple the expression with every rule.
+    return F.get(F.transform(F.array(text), guarded), F.lit(0))
 
 
 def normalize_text(text: Column | str, rules: Sequence[Rule] = SORANI_ARABIC) -> Column:

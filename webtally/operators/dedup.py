@@ -1,6 +1,6 @@
 """Exact duplicates by text.
 
-``key`` names a unique, non-null, orderable column. The row with the smallest key
+``key`` names a unique, non-null, orderable column; NULL keys raise. The row with the smallest key
 is the first of its copies. Null texts count as copies of each other.
 
 Texts are grouped by digest, in rows of a digest and a key that are combined within
@@ -26,12 +26,29 @@ def _columns(df: DataFrame) -> list[Column]:
 
 
 def text_groups(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One narrow row per distinct text: number of copies and first key."""
+    """One narrow row per distinct text: number of copies and first key. A NULL key fails the job."""
     return df.groupBy(text_digest(text).alias(DIGEST)).agg(
-        F.count("*").alias("copies"), F.min(key).alias(key)
+        F.count("*").alias("copies"), F.min(_present(key)).alias(key)
     )
 
 
+def _present(key: str) -> Column:
+    """The key; without one a row could be neither kept nor dropped, and would be lost silently."""
+    missing = F.raise_error(F.lit(f"NULL in the key column {key}: rows without a key cannot be deduplicated"))
+    return F.when(F.col(key).isNotNull(), F.col(key)).otherwise(missing)
+
+
+def checked_dedup(kept: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``kept`` as it is, if it has one row per group; fails the job otherwise.
+
+    With non-null keys a deduplicated table has as many rows as there are distinct texts
+    exactly when no first key is repeated.
+    """
+    rows, distinct = kept.agg(F.count("*")).scalar(), groups.agg(F.count("*")).scalar()
+    message = F.lit(f"Values of the key column {key} are repeated: deduplication kept more rows than there are texts")
+    return kept.where(F.when(rows == distinct, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def _hashed(keys: DataFrame) -> DataFrame:
     """Have a join hash these keys and stream the rows past them.
 

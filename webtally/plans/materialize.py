@@ -28,6 +28,8 @@ def materialize(df: DataFrame, name: str, bucket_by: str | None = None) -> DataF
     """
     folder, session = shared_folder(df), df.sparkSession
     if folder is None:
+        if bucket_by is not None:
+            raise ValueError(f"a bucketed table needs a shared folder; set {CHECKPOINT_DIR}")
         return df.persist(StorageLevel.DISK_ONLY)
     label = f"webtally-{name}-{uuid.uuid4().hex}"
     path = f"{folder.rstrip('/')}/{label}"

@@ -57,7 +57,8 @@ def word_report(
     groups: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Word statistics of the distinct texts, which are written once for all tables."""
-    texts = materialize(dd.dedup(df.select(key, text), key, text, groups), "distinct-texts")
+    groups = materialize(dd.text_groups(df, key, text), "text-groups") if groups is None else groups
+    texts = dd.checked_dedup(materialize(dd.dedup(df.select(key, text), key, text, groups), "distinct-texts"), groups, key)
     hist = materialize(wd.word_count_hist(texts, text), "word-counts")
     return {
         "dedup_count": pf.row_count(texts),

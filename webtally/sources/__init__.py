@@ -2,6 +2,7 @@ from webtally.sources.corpus import (
     CORPUS_SCHEMA,
     read_corpus,
     select_corpus,
+    with_input_order,
     write_bucketed,
     write_corpus,
     write_tables,
@@ -14,6 +15,7 @@ __all__ = [
     "read_suffix_list",
     "select_corpus",
     "suffix_rules",
+    "with_input_order",
     "write_bucketed",
     "write_corpus",
     "write_tables",

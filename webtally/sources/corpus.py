@@ -34,29 +34,32 @@ def read_corpus(
     schema: T.StructType | None = None,
     lang: str | None = None,
     split: str | None = None,
-    min_partitions: int | None = None,
 ) -> DataFrame:
     """Read a corpus and keep one language configuration and split.
 
     Parquet and ORC carry their schema. For JSON lines ``CORPUS_SCHEMA`` is the
-    default. On a layout written by :func:`write_corpus` the ``lang`` and
+    default, and a type that does not fit the file's fails the read. On a layout written by :func:`write_corpus` the ``lang`` and
     ``split`` choices prune directories instead of reading and filtering rows.
-
-    ``min_partitions`` spreads the rows of an input with fewer splits than that,
-    such as a few compressed files, before work that is heavy on the processor. An
-    input with more splits, as any large one has, is left as it is.
     """
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     elif fmt == "json":
         partitions = [T.StructField(c, T.StringType()) for c, v in (("lang", lang), ("split", split)) if v is not None]
-        reader = reader.schema(T.StructType(CORPUS_SCHEMA.fields + partitions))
+        # a malformed record fails: an id of another type must not be read as NULL
+        reader = reader.schema(T.StructType(CORPUS_SCHEMA.fields + partitions)).option("mode", "FAILFAST")
     paths = [path] if isinstance(path, str) else list(path)
-    df = select_corpus(reader.load(paths), lang=lang, split=split)
-    if min_partitions is not None and df.rdd.getNumPartitions() < min_partitions:
-        df = df.repartition(min_partitions)
-    return df
+    return select_corpus(reader.load(paths), lang=lang, split=split)
+
+
+def with_input_order(df: DataFrame, name: str = "input_order") -> DataFrame:
+    """Add a unique, orderable key from the place of each row: its file's path, then its row in it.
+
+    For Parquet without a key of its own. The same files give the same keys in every run,
+    and no sort or numbering job is needed.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return df.select(place.alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def select_corpus(df: DataFrame, lang: str | None = None, split: str | None = None) -> DataFrame:

@@ -6,65 +6,59 @@ A rule with letters beyond ASCII is in the table twice, as written and as ``xn--
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The section marks of the published list format.
 ICANN_SECTION = r"(?s)===BEGIN ICANN DOMAINS===(.*?)===END ICANN DOMAINS==="
 PRIVATE_SECTION = r"(?s)===BEGIN PRIVATE DOMAINS===(.*?)===END PRIVATE DOMAINS==="
 
 
-def _rules_from_lines(lines: DataFrame, line: Column) -> DataFrame:
-    # A rule ends at the first white space; comments start with two slashes.
-    rule = F.regexp_extract(F.lower(line), r"^\s*(\S+)", 1)
-    return (
-        lines.select(rule.alias("rule"))
-        .where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
-        .select(
-            F.regexp_replace("rule", r"^(?:\*\.|!)", "").alias("rule"),
-            F.when(F.col("rule").startswith("*."), "wild")
-            .when(F.col("rule").startswith("!"), "exc")
-            .otherwise("std")
-            .alias("kind"),
-        )
-    )
+# Text of a list beyond this is refused: it is handled on the driver. The published one has 300 kB.
+MAX_LIST_BYTES = 64 << 20
 
 
 def _label_to_ascii(label: str) -> str:
+    """An internationalised label as URLs spell it."""
     return label if label.isascii() else "xn--" + label.encode("punycode").decode("ascii")
 
 
-@F.pandas_udf(T.StringType())
-def _to_ascii(rules: pd.Series) -> pd.Series:
-    """Internationalised names as URLs spell them. Runs on the few such rules only."""
-    return rules.map(lambda rule: ".".join(map(_label_to_ascii, rule.split("."))))
-
-
-def _with_ascii_forms(rules: DataFrame) -> DataFrame:
-    international = rules.where(F.col("rule").rlike(r"[^\x00-\x7f]"))
-    return rules.unionByName(international.select(_to_ascii("rule").alias("rule"), "kind"))
-
-
 def suffix_rules(spark: SparkSession, rules: Iterable[str]) -> DataFrame:
-    """A rule table from rules in list notation, such as ``com``, ``*.ck`` and ``!www.ck``."""
-    rules = list(rules)
-    # An Arrow table becomes a local relation, so the parsing below is folded into the plan.
-    lines = spark.createDataFrame(pa.table({"line": pa.array(rules, pa.string())}))
-    table = _rules_from_lines(lines, F.col("line"))
-    return table if all(map(str.isascii, rules)) else _with_ascii_forms(table)
-
+    """A rule table from rules in list notation, such as ``com``, ``*.ck`` and ``!www.ck``.
 
-def read_suffix_list(spark: SparkSession, path: str, private: bool = False) -> DataFrame:
+    A rule ends at the first white space; comments start with two slashes. The table is a
+    local relation, so nothing is read or computed again by those who use it.
+    """
+    rows = set()
+    for line in rules:
+        rule = (line.lower().split() or [""])[0]
+        if not rule or rule.startswith("//"):
+            continue
+        kind = "wild" if rule.startswith("*.") else "exc" if rule.startswith("!") else "std"
+        rule = rule.removeprefix("*.").removeprefix("!")
+        rows |= {(rule, kind), (".".join(map(_label_to_ascii, rule.split("."))), kind)}
+    columns = list(zip(*sorted(rows))) or [(), ()]
+    table = {name: pa.array(column, pa.string()) for name, column in zip(("rule", "kind"), columns)}
+    return spark.createDataFrame(pa.table(table))
+
+
+def read_suffix_list(spark: SparkSession, path: str, private: bool = False, marked: bool = True) -> DataFrame:
     """Read a rule table from a file in the published list format.
 
-    Only the ICANN section counts unless ``private`` is set. The file is one
-    small document, so it is read whole to see its section marks.
+    Only the ICANN section counts unless ``private`` is set. A file without that section's
+    marks is refused, unless ``marked`` is unset: then all its lines are rules.
     """
-    text = spark.read.text(path, wholetext=True)
-    sections = [ICANN_SECTION, PRIVATE_SECTION] if private else [ICANN_SECTION]
-    body = F.concat_ws("\n", *[F.regexp_extract("value", section, 1) for section in sections])
-    lines = text.select(F.explode(F.split(body, r"\r?\n")).alias("line"))
-    return _with_ascii_forms(_rules_from_lines(lines, F.col("line")))
+    files = spark.read.text(path, wholetext=True)
+    size = files.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+    if size > MAX_LIST_BYTES:
+        raise ValueError(f"{path} has {size} bytes, a suffix list at most {MAX_LIST_BYTES}")
+    text = "\n".join(row["value"] for row in files.collect())
+    if marked:
+        sections = re.findall(ICANN_SECTION, text)
+        if not sections:
+            raise ValueError(f"{path} has no ICANN section; to take all its lines as rules, unset 'marked'")
+        text = "\n".join(sections + (re.findall(PRIVATE_SECTION, text) if private else []))
+    return suffix_rules(spark, text.splitlines())
