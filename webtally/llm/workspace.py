@@ -21,8 +21,16 @@ _made: dict[int, list[str]] = {}
 _shipped: set[int] = set()
 
 
+# Rows that go to a Python worker at a time. Texts are long: the default of 10,000 rows would
+# be held several times over, in the executor and in the worker.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they run. Once per application."""
+    """Let Python workers import this package wherever they run, and send them batches of bounded size."""
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     context = spark.sparkContext
     if id(context) in _shipped:
         return
