@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -44,8 +45,10 @@ SPLIT_LATIN = re.compile(
 )
 
 # Encodings of short pieces and pair tests are remembered, up to so many of each.
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 150_000
 REMEMBERED_PAIRS = 1 << 21
+# Bytes of text encoded at once; the pieces of a part are Python strings, many times as large.
+PART_BYTES = 1 << 20
 # Pieces up to so many bytes are encoded many at a time.
 LONGEST_AT_ONCE = 48
 
@@ -68,7 +71,8 @@ class Numbering(dict):
 class SuffixAutomaton:
     """Reports, byte by byte, the longest vocabulary entry that ends there.
 
-    ``step[node, byte]`` is the next node. ``longest[node]`` is the longest entry that
+    ``step[row[node], byte]`` is the next node; a node that no entry goes on from shares
+    the row of the node it falls back to. ``longest[node]`` is the longest entry that
     ends at a node, ``shorter[token]`` the next one that is a suffix of an entry; -1
     stands for none.
     """
@@ -90,7 +94,10 @@ class SuffixAutomaton:
                 node = following
             ends[node] = token
 
-        self.step = np.zeros((len(children), 256), np.int32)
+        inner = np.fromiter(map(bool, children), bool, len(children))
+        inner[0] = True
+        self.row = (np.cumsum(inner) - 1).astype(np.int32)
+        self.step = np.zeros((int(inner.sum()), 256), np.int32)
         self.longest = np.full(len(children), -1, np.int32)
         self.shorter = np.full(size, -1, np.int32)
         own = np.full(len(children), -1, np.int32)
@@ -98,15 +105,39 @@ class SuffixAutomaton:
         for depth, level in enumerate(levels):
             parent, byte, node = np.array(level).T
             # where the text without its first byte leads, which is a node one level up or higher
-            fallback = self.step[parent, byte] if depth else np.zeros(len(node), np.int32)
-            self.step[parent, byte] = node
-            self.step[node] = self.step[fallback]
+            fallback = self.step[self.row[parent], byte] if depth else np.zeros(len(node), np.int32)
+            self.step[self.row[parent], byte] = node
+            goes_on = inner[node]
+            self.step[self.row[node[goes_on]]] = self.step[self.row[fallback[goes_on]]]
+            self.row[node[~goes_on]] = self.row[fallback[~goes_on]]
             below = self.longest[fallback]
             self.longest[node] = np.where(own[node] >= 0, own[node], below)
             is_entry = own[node] >= 0
             self.shorter[own[node][is_entry]] = below[is_entry]
 
 
+class Edges:
+    """The nodes on one edge of every token's merge tree, each with the rank of the merge that ends it."""
+
+    def __init__(self, rank: dict[tuple[int, int], int], parts: dict[int, tuple[int, int]], side: int, size: int) -> None:
+        never = len(rank)
+        first, tokens, ends = [0], array("i"), array("i")
+        for token in range(size):
+            ended = never
+            while True:
+                tokens.append(token)
+                ends.append(ended)
+                if token not in parts:
+                    break
+                ended, token = rank[parts[token]], parts[token][side]
+            first.append(len(tokens))
+        self.first, self.tokens, self.ends = array("i", first), tokens, ends
+
+    def nodes(self, token: int) -> list[tuple[int, int]]:
+        own = slice(self.first[token], self.first[token + 1])
+        return list(zip(self.tokens[own], self.ends[own]))
+
+
 class BytePairCodec:
     """Encoder and decoder for a byte-level BPE vocabulary file of the tokenizers library."""
 
@@ -135,8 +166,8 @@ class BytePairCodec:
             left, right = (self.ids[as_bytes(x)] for x in (merge.split(" ") if isinstance(merge, str) else merge))
             self.rank[left, right] = order
             parts.setdefault(self.ids[contents[left] + contents[right]], (left, right))
-        self.right_edge = [self._edge(i, parts, 1) for i in range(size)]
-        self.left_edge = [self._edge(i, parts, 0) for i in range(size)]
+        self.right_edge = Edges(self.rank, parts, 1, size)
+        self.left_edge = Edges(self.rank, parts, 0, size)
 
         self.automaton = SuffixAutomaton(self.ids, size)
         self.length = self.contents.length.astype(np.int32)
@@ -148,15 +179,6 @@ class BytePairCodec:
         self._pieces = Numbering()
         self._start, self._count, self._flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def _edge(self, token: int, parts: dict[int, tuple[int, int]], side: int) -> list[tuple[int, float]]:
-        """The nodes on one edge of a token's merge tree, each with the rank of the merge that ends it."""
-        nodes, ended = [], float("inf")
-        while True:
-            nodes.append((token, ended))
-            if token not in parts:
-                return nodes
-            ended, token = self.rank[parts[token]], parts[token][side]
-
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' text is these two tokens.
 
@@ -164,8 +186,9 @@ class BytePairCodec:
         left one's own merge lies further left and comes first among equal ranks, the
         right one's comes later.
         """
-        for a, a_ended in self.right_edge[left]:
-            for b, b_ended in self.left_edge[right]:
+        right_nodes = self.left_edge.nodes(right)
+        for a, a_ended in self.right_edge.nodes(left):
+            for b, b_ended in right_nodes:
                 rank = self.rank.get((a, b))
                 if rank is not None and rank < a_ended and rank <= b_ended:
                     return False
@@ -206,7 +229,7 @@ class BytePairCodec:
         node = np.zeros(len(pieces), np.int32)
         for i in range(longest):
             m = going[i]
-            node = auto.step[node[:m], text[starts[:m] + i]]
+            node = auto.step[auto.row[node[:m]], text[starts[:m] + i]]
             token = auto.longest[node]
             open_ = np.arange(m)
             while len(open_):
@@ -238,7 +261,7 @@ class BytePairCodec:
         """Ids of one piece of any length; the same recurrence, byte by byte."""
         auto, length, last, node = self.automaton, self.length, [-1] * (len(piece) + 1), 0
         for end, byte in enumerate(piece, 1):
-            node = auto.step[node, byte]
+            node = auto.step[auto.row[node], byte]
             token = int(auto.longest[node])
             while not ((left := last[end - length[token]]) < 0 or self._follows(left, token)):
                 token = int(auto.shorter[token])
@@ -342,7 +365,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for part in slices(batches):
+        for part in slices(batches, PART_BYTES):
             yield pa.record_batch([part.column(0), _lists(_encoded(own, part.column(1)))], names=["doc_id", "ids"])
 
     texts = keyed_texts(docs, key, text)
@@ -355,7 +378,7 @@ def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids: str =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for part in slices(batches):
+        for part in slices(batches, PART_BYTES):
             texts = [own.decode(np.array(x or [], np.int64)) for x in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -375,7 +398,7 @@ def round_trip(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for part in slices(batches):
+        for part in slices(batches, PART_BYTES):
             ids = _encoded(own, part.column(1))
             columns = {
                 "doc_id": part.column(0),
