@@ -13,7 +13,7 @@ import pyarrow as pa
 # Odd multipliers of a polynomial over bytes and of a finalising mix.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
