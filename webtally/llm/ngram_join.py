@@ -49,7 +49,9 @@ STEP = 16
 BLOCK_MEMBERS = 1024
 GRAMS_OF_A_MEMBER = 512
 # Columns of the incidence matrix multiplied at once.
-COLUMNS = 4096
+COLUMNS = 1024
+# Pairs whose MinHash values are compared at once.
+PAIRS = 1 << 16
 
 _random = np.random.default_rng(11)
 _FACTOR = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -87,13 +89,26 @@ def surviving(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a group that share no band before this one and outlast the pruning."""
     left, right = pairs_in(side)
+    parts = [
+        _outlasting(values, left[at : at + PAIRS], right[at : at + PAIRS], band, fewest_matches(threshold, tolerance))
+        for at in range(0, len(left), PAIRS)
+    ]
+    if not parts:
+        return left, right
+    left, right = (np.concatenate(x) for x in zip(*parts))
+    return left, right
+
+
+def _outlasting(
+    values: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, fewest: tuple[int, ...]
+) -> tuple[np.ndarray, np.ndarray]:
     for other in range(band + 1):
         at = slice(other * ROWS, (other + 1) * ROWS)
         same = (values[left, at] == values[right, at]).all(axis=1)
         keep = same if other == band else ~same
         left, right = left[keep], right[keep]
     matches = np.zeros(len(left), np.int64)
-    for look, least in enumerate(fewest_matches(threshold, tolerance)):
+    for look, least in enumerate(fewest):
         at = slice(look * STEP, (look + 1) * STEP)
         matches += (values[left, at] == values[right, at]).sum(axis=1)
         keep = matches >= least
