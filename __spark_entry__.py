@@ -147,6 +147,18 @@ def website_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fq.treemap_nodes(fq.at_least(_websites(spark, sf_dir), MIN_WEBSITE_PAGES), ["website"])
 
 
+def website_reconcile_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some pages have no URL, so the counts of websites do not reach the number of pages."""
+    url = F.when(F.col("page_id") % 7 != 0, F.col(URL)).alias("url")
+    return ws.reconcile_websites(_pages(spark, sf_dir).select("page_id", url), _rules(spark), "url")
+
+
+def treemap_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the suffixes and, below them, of their websites."""
+    suffix = F.substring_index("website", ".", -1).alias("suffix")
+    return fq.treemap_nodes(_websites(spark, sf_dir).select(suffix, "website", "counts"), ["suffix", "website"])
+
+
 def host_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = _pages(spark, sf_dir).select(host_name(URL).alias("host"))
     return fq.by_frequency(fq.at_least(fq.value_counts(hosts, "host"), MIN_HOST_PAGES), "host")
@@ -275,7 +287,7 @@ QUERIES = (
     corpus_select, corpus_count, corpus_head, meta_flatten, meta_head,
     url_host, page_website, page_website_wildcard,
     website_counts, website_distinct, website_top, website_threshold, website_reconcile, website_treemap,
-    host_threshold,
+    website_reconcile_nulls, treemap_levels, host_threshold,
     text_normalize, numeral_unify, cast_string, normalized_dedup,
     text_profile, text_profile_first_seen, table_profile,
     duplicate_flag, duplicate_count, duplicate_rows, duplicate_head, dedup, dedup_input_order, dedup_count,
@@ -373,6 +385,20 @@ def oracle_sql() -> dict[str, str]:
             SELECT website AS id, website AS label, '' AS parent, counts AS value,
                    counts / (SELECT CAST(sum(counts) AS DOUBLE) FROM kept) AS share
             FROM kept""",
+        "website_reconcile_nulls": """
+            SELECT count(*) FILTER (page_id % 7 <> 0) AS total, count(*) AS expected,
+                   count(*) FILTER (page_id % 7 = 0) AS null_rows, count(*) FILTER (page_id % 7 = 0) = 0 AS ok
+            FROM pages""",
+        "treemap_levels": f"""
+            WITH {SQL_WEBSITES}, kept AS (
+                SELECT string_split(website, '.')[-1] AS suffix, website, CAST(counts AS DOUBLE) AS counts FROM websites
+            ), nodes AS (
+                SELECT suffix AS id, suffix AS label, '' AS parent, counts FROM kept
+                UNION ALL SELECT suffix || '/' || website, website, suffix, counts FROM kept
+            )
+            SELECT id, label, parent, CAST(sum(counts) AS BIGINT) AS value,
+                   sum(counts) / (SELECT sum(counts) FROM kept) AS share
+            FROM nodes GROUP BY id, label, parent""",
         "host_threshold": rf"""
             SELECT host, count(*) AS counts
             FROM (SELECT regexp_extract(lower(url), '://([\w\-.]+)', 1) AS host FROM pages)

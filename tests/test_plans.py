@@ -1,6 +1,7 @@
 """Plans the queries must keep, the materialisation of shared results, and known totals."""
 
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +9,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from webtally.__main__ import main
 from webtally.operators import dedup as dd, words as wd
-from webtally.plans.materialize import materialize
-from webtally.plans.reports import clean_texts
+from webtally.plans.materialize import materialize, scratch
+from webtally.plans.reports import clean_texts, corpus_report
 from webtally.session import CHECKPOINT_DIR
-from webtally.sources import write_bucketed, write_corpus
+from webtally.sources import suffix_rules, write_bucketed, write_corpus
 
 QUERIES = contract.queries()
 
@@ -20,6 +21,20 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _final_plan(df):
+    """The plan after Spark has adapted it to what it found."""
+    df.collect()
+    return _plan(df).split("== Initial Plan ==")[0]
+
+
+@pytest.fixture
+def large_tables(spark):
+    """Joins as on tables too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("name", sorted(q.__name__ for q in contract.QUERIES))
 def test_no_python_and_no_cross_join(spark, sf_dir, name):
     plan = _plan(QUERIES[name](spark, sf_dir))
@@ -63,15 +78,15 @@ def test_text_is_not_shuffled_to_flag_or_count_copies(spark, sf_dir):
         assert not re.search(r"SortAggregate\(key=\[\w", plan)
 
 
-def test_texts_are_shuffled_once_and_not_sorted(spark, sf_dir):
+def test_texts_are_shuffled_once_and_not_sorted(spark, sf_dir, large_tables):
     for name in ("dedup", "duplicate_rows"):
-        plan = _plan(QUERIES[name](spark, sf_dir))
+        plan = _final_plan(QUERIES[name](spark, sf_dir))
         assert "ShuffledHashJoin" in plan and "Sort" not in plan and "Window" not in plan
         assert len(re.findall(r"Exchange hashpartitioning\(doc_id", plan)) == 2
         assert plan.count("Exchange") == 3 and "Exchange hashpartitioning(text" not in plan
 
 
-def test_bucketed_texts_are_not_shuffled(spark, sf_dir, tmp_path):
+def test_bucketed_texts_are_not_shuffled(spark, sf_dir, tmp_path, large_tables):
     """On a table bucketed by key only digests and keys move, and the rows are the same."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_bucketed(docs, "bucketed_docs", "doc_id", 6, f"{tmp_path}/docs")
@@ -84,7 +99,7 @@ def test_bucketed_texts_are_not_shuffled(spark, sf_dir, tmp_path):
             # the digest, then the keys into the buckets of the table
             exchanges = re.findall(r"Exchange hashpartitioning\((\w+)#\w+, (\d+)\)", plan)
             assert exchanges == [("doc_id", "6"), ("_groupingexpression", "8")]
-            stream = plan[plan.index("ShuffledHashJoin") : plan.index("Exchange")]
+            stream = plan[plan.index("SortMergeJoin") : plan.index("Exchange")]
             assert "FileScan" in stream and "Bucketed: true" in stream
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, operator(docs, "doc_id").collect()))
     finally:
@@ -148,24 +163,46 @@ def test_materialize_uses_the_folder_of_the_session(spark, tmp_path):
     assert all(folder in file for file in kept.inputFiles())
 
 
-def test_materialize_by_key(spark):
+def test_materialize_by_key(spark, large_tables):
     numbers = spark.range(1000).withColumn("text", (F.col("id") % 7).cast("string"))
-    kept = materialize(numbers, "by-key", bucket_by="id")
-    assert dd.dedup(kept, "id").count() == 7
-    assert "Bucketed: true" in _plan(dd.dedup(kept, "id"))
-    name = [t.name for t in spark.catalog.listTables() if "by_key" in t.name]
-    assert len(name) == 1
-    spark.sql(f"DROP TABLE {name[0]}")
+    with scratch():
+        kept = materialize(numbers, "by-key", bucket_by="id", buckets=3)
+        assert dd.dedup(kept, "id").count() == 7
+        assert "Bucketed: true" in _plan(dd.dedup(kept, "id")) and len(kept.inputFiles()) == 3
+        assert len([t for t in spark.catalog.listTables() if "by_key" in t.name]) == 1
+        folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert not folder.exists()
+    assert not [t for t in spark.catalog.listTables() if "by_key" in t.name]
+    with pytest.raises(ValueError, match="number of buckets"):
+        materialize(numbers, "by-key", bucket_by="id")
 
 
 def test_materialize_without_a_folder(spark, monkeypatch):
     monkeypatch.setattr("webtally.plans.materialize.shared_folder", lambda df: None)
-    kept = materialize(spark.range(10), "t")
-    assert kept.is_cached and kept.count() == 10
-    kept.unpersist()
-
-
-@pytest.mark.parametrize("more", [[], ["--bucketed"]])
+    with scratch():
+        kept = materialize(spark.range(10), "t")
+        assert kept.is_cached and kept.count() == 10
+    assert not kept.is_cached
+    with pytest.raises(ValueError, match="shared folder"):
+        materialize(spark.range(10), "t", bucket_by="id", buckets=2)
+
+
+def test_report_shuffles_texts_once(spark, tmp_path, large_tables):
+    """Duplicates and words are filters on one marked table."""
+    numbers = spark.range(100).select("id", (F.col("id") % 7).cast("string").alias("text"), F.lit("http://a.uk/").alias("u"))
+    with scratch():
+        tables = corpus_report(numbers, suffix_rules(spark, ["uk"]), "id", "u", minimum=1)
+        for name in ("duplicate_head", "dedup_count", "top_tokens", "tokens_head"):
+            assert not re.search(r"Join|Exchange hashpartitioning\((id|text)", _plan(tables[name]))
+        assert tables["dedup_count"].first().n_rows == 7 and tables["duplicate_head"].count() == 10
+        assert [r.id for r in tables["corpus_head"].collect()] == [0, 1, 2, 3, 4]
+        assert tables["meta_head"].columns == ["id", "url"]
+        folders = {Path(f.removeprefix("file://")).parent for f in tables["duplicate_head"].inputFiles()}
+        assert len(folders) == 1 and all(f.exists() for f in folders)
+    assert not any(f.exists() for f in folders)
+
+
+@pytest.mark.parametrize("more", [[], ["--bucketed", "6"]])
 def test_command_writes_every_report(spark, tmp_path, more):
     """The whole analysis on fixture documents with URLs and normalisable letters, and one missing text."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -179,6 +216,8 @@ def test_command_writes_every_report(spark, tmp_path, more):
     write_corpus(corpus, f"{tmp_path}/corpus")
     (tmp_path / "suffixes.dat").write_text("===BEGIN ICANN DOMAINS===\nuk\nco.uk\n===END ICANN DOMAINS===\n")
     options = ["--suffixes", f"{tmp_path}/suffixes.dat", "--min-pages", "2", "--lang", "en", *more]
+    shared = Path(spark.conf.get(CHECKPOINT_DIR).removeprefix("file://"))
+    before = set(shared.glob("webtally-*"))
     main([f"{tmp_path}/corpus", f"{tmp_path}/out", *options])
 
     read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
@@ -191,6 +230,10 @@ def test_command_writes_every_report(spark, tmp_path, more):
     assert {r.label for r in read("website_treemap").collect()} == {site for site, n in want if n >= 2}
     non_null = {r.column: r.non_null for r in read("table_profile").collect()}
     assert non_null["text"] == english.where("text is not null").count()
+    assert {r.column: r.non_null for r in read("clean_profile").collect()}["id"] == english.count()
+    assert read("corpus_head").count() == read("meta_head").count() == 5
+    assert set(shared.glob("webtally-*")) == before
+    assert not [t for t in spark.catalog.listTables() if "clean_texts" in t.name]
 
     cleaned = clean_texts(english.select("id", "text"))
     profile, counts = read("text_profile").first(), read("duplicate_count").first()

@@ -37,9 +37,12 @@ def test_ties_by_first_seen(spark):
     assert [r.corpus for r in wd.top_tokens(_texts(spark, texts), 3).collect()] == ["w", "x", "y"]
 
 
-def test_first_seen_needs_an_integer_key(spark):
-    with pytest.raises(ValueError, match="integer"):
-        wd.top_tokens_first_seen(spark.createDataFrame([("a", "x")], "id string, text string"), "id")
+@pytest.mark.parametrize("n", [1, 3, 7, 1000])
+def test_ties_by_first_seen_with_string_keys(spark, texts, n):
+    keyed = [(f"{i:04d}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(keyed, "`id` string, text string").repartition(3)
+    want = Counter(w for t in texts if t is not None for w in t.split()).most_common(n)
+    assert [tuple(r) for r in wd.top_tokens_first_seen(df, "id", n).collect()] == want
 
 
 def test_first_tokens_skip_blank_texts(spark):

@@ -9,6 +9,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from webtally.plans.materialize import scratch
 from webtally.plans.reports import corpus_report
 from webtally.sources import read_corpus, read_suffix_list, write_tables
 
@@ -28,7 +29,7 @@ def parse_args(args: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--min-pages", type=int, default=1000, help="pages a website needs to be charted")
     parser.add_argument("--max-words", type=int, default=2000, help="terms to weigh")
     parser.add_argument("--stop-words", nargs="*", default=[], help="terms to leave out")
-    parser.add_argument("--bucketed", action="store_true", help="write cleaned texts by key; needs a catalog")
+    parser.add_argument("--bucketed", type=int, metavar="BUCKETS", help="write cleaned texts by key; needs a catalog")
     parser.add_argument("--null-as", help="text to use for missing texts")
     return parser.parse_args(args)
 
@@ -36,19 +37,20 @@ def parse_args(args: list[str] | None = None) -> argparse.Namespace:
 def main(args: list[str] | None = None) -> None:
     options = parse_args(args)
     spark = SparkSession.builder.appName("webtally").getOrCreate()
-    tables = corpus_report(
-        read_corpus(spark, options.corpus, options.format, lang=options.lang, split=options.split),
-        read_suffix_list(spark, options.suffixes),
-        key=options.key,
-        url=options.url,
-        text=options.text,
-        minimum=options.min_pages,
-        max_words=options.max_words,
-        stop_words=options.stop_words,
-        null_as=options.null_as,
-        bucketed=options.bucketed,
-    )
-    write_tables(tables, options.out, options.out_format)
+    with scratch():
+        tables = corpus_report(
+            read_corpus(spark, options.corpus, options.format, lang=options.lang, split=options.split),
+            read_suffix_list(spark, options.suffixes),
+            key=options.key,
+            url=options.url,
+            text=options.text,
+            minimum=options.min_pages,
+            max_words=options.max_words,
+            stop_words=options.stop_words,
+            null_as=options.null_as,
+            buckets=options.bucketed,
+        )
+        write_tables(tables, options.out, options.out_format)
 
 
 if __name__ == "__main__":

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webtally.functions.digest import text_digest
 
 DIGEST = "_digest"
+COPIES = "_n_copies"
 
 
 def _columns(df: DataFrame) -> list[Column]:
@@ -49,31 +50,42 @@ def checked_dedup(kept: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return kept.where(F.when(rows == distinct, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
-def _hashed(keys: DataFrame) -> DataFrame:
-    """Have a join hash these keys and stream the rows past them.
+def with_copies(
+    df: DataFrame, key: str, text: str = "text", groups: DataFrame | None = None, copies: str = COPIES
+) -> DataFrame:
+    """Every row with the number of copies of its text if it is the first of them, NULL if it is a later one.
 
-    A partition has at most one key for each of its rows, a small part of the size of
-    their texts. A sort-merge join would sort the rows, texts included.
+    One match by the unique key, of which the other operators are filters: written once, it
+    serves all of them. Only the columns of ``df`` that are used later are shuffled. The join is
+    Spark's to choose; with ``spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold`` set, as
+    in ``session``, it hashes partitions with few keys and sorts, and spills, the others.
     """
-    return keys.hint("shuffle_hash")
+    groups = text_groups(df, key, text) if groups is None else groups
+    first = groups.select(F.col(key), F.col("copies").alias("_copies"))
+    return df.join(first, key, "left").select(*_columns(df), F.col("_copies").alias(copies))
+
+
+def first_copies(marked: DataFrame, copies: str = COPIES) -> DataFrame:
+    """The first row of every distinct text, from rows marked by :func:`with_copies`."""
+    return marked.where(F.col(copies).isNotNull()).drop(copies)
+
+
+def repeated_rows(marked: DataFrame, copies: str = COPIES) -> DataFrame:
+    """The rows whose text occurs more than once, from rows marked by :func:`with_copies`."""
+    return marked.where(F.coalesce(F.col(copies) > 1, F.lit(True))).drop(copies)
 
 
 def dedup(df: DataFrame, key: str, text: str = "text", groups: DataFrame | None = None) -> DataFrame:
-    """Keep the first row of every distinct text. A text is shuffled once and never sorted."""
-    first = (text_groups(df, key, text) if groups is None else groups).select(key)
-    return df.join(_hashed(first), key, "left_semi").select(*_columns(df))
+    """Keep the first row of every distinct text. A text is shuffled once."""
+    return first_copies(with_copies(df, key, text, groups))
 
 
 def duplicate_flags(
     df: DataFrame, key: str, text: str = "text", flag: str = "is_duplicate", groups: DataFrame | None = None
 ) -> DataFrame:
-    """Mark every row but the first of its text.
-
-    Every row whose key is not the first key of a group is a later copy. The text is
-    not shuffled unless the caller selects it.
-    """
-    first = (text_groups(df, key, text) if groups is None else groups).select(F.col(key), F.lit(True).alias("_first"))
-    return df.join(_hashed(first), key, "left").select(*_columns(df), F.col("_first").isNull().alias(flag))
+    """Mark every row but the first of its text. The text is not shuffled unless the caller selects it."""
+    marked = with_copies(df, key, text, groups)
+    return marked.select(*_columns(df), F.col(COPIES).isNull().alias(flag))
 
 
 def duplicate_count(df: DataFrame, text: str = "text", groups: DataFrame | None = None) -> DataFrame:
@@ -94,11 +106,9 @@ def dedup_count(df: DataFrame, text: str = "text") -> DataFrame:
 def duplicate_rows(df: DataFrame, key: str, text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """All rows whose text occurs more than once, first copies included.
 
-    These are the rows left when the texts with a single copy are taken out by key.
-    A join with the repeated digests would gather the copies of a text.
+    Rows are matched by key. A join with the repeated digests would gather the copies of a text.
     """
-    single = (text_groups(df, key, text) if groups is None else groups).where(F.col("copies") == 1).select(key)
-    return df.join(_hashed(single), key, "left_anti").select(*_columns(df))
+    return repeated_rows(with_copies(df, key, text, groups))
 
 
 def first_in_text_order(df: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:

@@ -13,9 +13,6 @@ from webtally.operators.frequency import reconcile
 # about ten thousand rules and 200 kB; both are measured before the hint is given.
 MAX_BROADCAST_RULES = 200_000
 MAX_BROADCAST_BYTES = 8 << 20
-# Beyond them, every rule is copied to this many salts so that the rows under a
-# common suffix spread over as many tasks.
-RULE_SALTS = 32
 
 
 def _one_row_per_rule(rules: DataFrame) -> DataFrame:
@@ -46,8 +43,11 @@ def with_website(
     one equality join with the rules of that many labels, so rows are neither
     multiplied nor regrouped, and with broadcast rules nothing is shuffled. A rule
     table above the size bounds is joined by shuffle instead, on the candidate and
-    a salt taken from ``salt_by`` (all columns by default).
+    a salt taken from ``salt_by`` (all columns by default). There are as many salts as
+    shuffle partitions, so that the rows under a common suffix, or without a candidate,
+    spread over all tasks.
     """
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = rules.agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(F.octet_length("rule")), F.lit(0)).alias("n_bytes"),
@@ -58,7 +58,7 @@ def with_website(
 
     n_labels = _count_labels(F.col(host))
     salted = df if small else df.withColumn(
-        "_salt", F.pmod(F.xxhash64(*(salt_by or [f"`{c}`" for c in df.columns])), F.lit(RULE_SALTS)).cast("int")
+        "_salt", F.pmod(F.xxhash64(*(salt_by or [f"`{c}`" for c in df.columns])), F.lit(salts)).cast("int")
     )
     joined = salted
     lengths, exceptions = [F.lit(0), F.lit(0)], []
@@ -72,7 +72,7 @@ def with_website(
         if small:
             side = F.broadcast(side)
         else:
-            side = side.withColumn(prefix + "salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))))
+            side = side.withColumn(prefix + "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
             condition &= F.col("_salt") == F.col(prefix + "salt")
         joined = joined.join(side, condition, "left")
         lengths.append(F.when(F.col(prefix + "std"), depth))

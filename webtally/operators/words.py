@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from webtally.functions.tokens import has_words, raw_terms, tokens, word_count
 
@@ -30,17 +30,27 @@ def top_tokens(df: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
 def top_tokens_first_seen(df: DataFrame, key: str, n: int = 10, text: str = "text") -> DataFrame:
     """The ``n`` most frequent words; of equal counts, the one met first in the corpus.
 
-    ``key`` is an integer column. Key and position are packed into one number, because a
-    minimum over a number is kept by the hash aggregate and one over a struct is not.
+    Words are ranked by count and first text. Places within a text are looked up only for
+    the words that reach the cut, which are ``n`` and those that tie in one text at most.
     """
-    if not isinstance(df.schema[key].dataType, T.IntegralType):
-        raise ValueError(f"{key} must be an integer column")
-    place = F.col(key).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
-    return (
-        df.select(key, F.posexplode(tokens(text)).alias("pos", "corpus"))
+    counts = (
+        df.select(F.col(key).alias("first"), F.explode(tokens(text)).alias("corpus"))
         .groupBy("corpus")
-        .agg(F.count("*").alias("countv"), F.min(place).alias("place"))
-        .orderBy(F.desc("countv"), F.asc("place"))
+        .agg(F.count("*").alias("countv"), F.min("first").alias("first"))
+    )
+    # Spark cuts a rank in every partition before the rows of all of them meet.
+    place = F.rank().over(Window.partitionBy().orderBy(F.desc("countv"), F.asc("first")))
+    reached = counts.withColumn("_rank", place).where(F.col("_rank") <= n).drop("_rank")
+    # At most n texts are looked at, so their keys can be broadcast.
+    wanted = F.broadcast(reached.select(F.col("first").alias("_key")).distinct())
+    words = df.join(wanted, F.col(key) == F.col("_key"), "left_semi").select(
+        F.col(key).alias("first"), F.posexplode(tokens(text)).alias("pos", "corpus")
+    )
+    return (
+        words.join(reached, ["first", "corpus"])
+        .groupBy("corpus", "countv", "first")
+        .agg(F.min("pos").alias("pos"))
+        .orderBy(F.desc("countv"), F.asc("first"), F.asc("pos"))
         .limit(n)
         .select("corpus", "countv")
     )

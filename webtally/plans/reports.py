@@ -35,11 +35,21 @@ def clean_texts(
     return df.withColumn(text, pf.cast_string(normalize_text(text, rules), null_as))
 
 
+def marked_texts(df: DataFrame, key: str, text: str, groups: DataFrame) -> DataFrame:
+    """The texts with their numbers of copies, written once for duplicates and words: texts are shuffled here only."""
+    return materialize(dd.with_copies(df.select(key, text), key, text, groups), "marked-texts")
+
+
 def duplicate_report(
-    df: DataFrame, key: str, text: str = "text", n_head: int = 10, groups: DataFrame | None = None
+    df: DataFrame,
+    key: str,
+    text: str = "text",
+    n_head: int = 10,
+    groups: DataFrame | None = None,
+    marked: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Text profile and exact duplicates of cleaned texts."""
-    repeated = dd.duplicate_rows(df, key, text, groups)
+    repeated = dd.duplicate_rows(df, key, text, groups) if marked is None else dd.repeated_rows(marked)
     return {
         "text_profile": pf.text_profile_first_seen(df, key, text, groups),
         "duplicate_count": dd.duplicate_count(df, text, groups),
@@ -55,10 +65,12 @@ def word_report(
     n_top: int = 10,
     stop_words: Sequence[str] = (),
     groups: DataFrame | None = None,
+    marked: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Word statistics of the distinct texts, which are written once for all tables."""
     groups = materialize(dd.text_groups(df, key, text), "text-groups") if groups is None else groups
-    texts = dd.checked_dedup(materialize(dd.dedup(df.select(key, text), key, text, groups), "distinct-texts"), groups, key)
+    marked = marked_texts(df, key, text, groups) if marked is None else marked
+    texts = dd.checked_dedup(dd.first_copies(marked), groups, key)
     hist = materialize(wd.word_count_hist(texts, text), "word-counts")
     return {
         "dedup_count": pf.row_count(texts),
@@ -80,21 +92,28 @@ def corpus_report(
     max_words: int = 2000,
     stop_words: Sequence[str] = (),
     null_as: str | None = None,
-    bucketed: bool = False,
+    buckets: int | None = None,
+    n_head: int = 5,
 ) -> dict[str, DataFrame]:
     """All report tables of a corpus.
 
     Websites are counted over all rows. Texts are normalised and grouped, both written
-    once, and then profiled; words are counted over the distinct ones. With ``bucketed`` they are
-    written by key, so that listing and dropping copies moves no text again.
+    once, and then profiled; words are counted over the distinct ones. With ``buckets`` they are
+    written by key in so many, so that marking copies moves no text again. Call it and write the
+    tables within :func:`webtally.plans.materialize.scratch` to have what they share dropped.
     """
     texts = clean_texts(df.select(key, text), text, null_as=null_as)
-    cleaned = materialize(texts, "clean-texts", bucket_by=key if bucketed else None)
+    cleaned = materialize(texts, "clean-texts", bucket_by=None if buckets is None else key, buckets=buckets)
     groups = materialize(dd.text_groups(cleaned, key, text), "text-groups")
+    marked = marked_texts(cleaned, key, text, groups)
+    urls = df.select(key, (F.col(url) if isinstance(url, str) else url).alias("url"))
     return {
         "corpus_count": pf.row_count(df),
+        "corpus_head": pf.head(df, key, n_head),
+        "meta_head": pf.head(urls, key, n_head),
         "table_profile": pf.table_profile(df),
+        "clean_profile": pf.table_profile(cleaned),
         **website_report(df, rules, url, minimum),
-        **duplicate_report(cleaned, key, text, groups=groups),
-        **word_report(cleaned, key, text, max_words, stop_words=stop_words, groups=groups),
+        **duplicate_report(cleaned, key, text, groups=groups, marked=marked),
+        **word_report(cleaned, key, text, max_words, stop_words=stop_words, groups=groups, marked=marked),
     }

@@ -19,6 +19,8 @@ def local_session(cores: int | str = "*", memory: str = "8g", checkpoint_dir: st
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
+        # Joins of partitions whose smaller side is below this hash it instead of sorting both sides.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
