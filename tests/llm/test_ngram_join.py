@@ -118,6 +118,37 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert (matches < np.array(fewest)).any(axis=1).mean() < 1e-4
 
 
+@pytest.mark.parametrize("two_blocks", [False, True])
+@pytest.mark.parametrize("band", [0, 1, 5])
+def test_pairs_of_a_group_equal_those_compared_one_by_one(monkeypatch, band, two_blocks):
+    monkeypatch.setattr(ngram_join, "PAIRS", 50)
+    rng = np.random.default_rng(band)
+    base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    sets = []
+    for _ in range(40):
+        own, n = base.copy(), rng.integers(0, 25)
+        own[rng.choice(120, n, replace=False)] = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets.append(np.unique(own))
+    values = np.stack([ngram_join.signature(x) for x in sets])
+    values[:, band * 4 : band * 4 + 4] = values[0, band * 4 : band * 4 + 4]
+    side = np.arange(40) % 2 if two_blocks else np.zeros(40, int)
+    fewest = ngram_join.fewest_matches(0.8, 1e-7)
+
+    def survives(a, b):
+        same = values[a] == values[b]
+        return not same.reshape(-1, 4)[:band].all(axis=1).any() and all(
+            same[: (i + 1) * ngram_join.STEP].sum() >= least for i, least in enumerate(fewest)
+        )
+
+    pairs = [(a, b) for a in range(40) for b in range(40) if (side[a] < side[b] if two_blocks else a < b)]
+    left, right = ngram_join.surviving(values, side, band, 0.8, 1e-7)
+    found = list(zip(left.tolist(), right.tolist()))
+    assert sorted(found) == [p for p in pairs if survives(*p)] and found
+    near = ngram_join.reaching(sets, left, right, 0.8)
+    shared = [len(np.intersect1d(sets[a], sets[b])) for a, b in found]
+    assert near.tolist() == [10 * c >= 8 * (len(sets[a]) + len(sets[b]) - c) for c, (a, b) in zip(shared, found)]
+
+
 def test_words_equal_those_of_a_plain_split():
     rng = random.Random(2)
     texts = ["".join(rng.choices("aAbB é😀 \t\n\x0b\x0c\r\x1c\x85.", k=rng.randrange(30))) for _ in range(300)] + [None, ""]

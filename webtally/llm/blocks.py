@@ -65,6 +65,14 @@ def groups_of(batches: Iterator[pa.RecordBatch], group: Sequence[str]) -> Iterat
         yield pa.Table.from_batches(held)
 
 
+def sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a group on the left and on the right of its pairs; the same array for a block with itself."""
+    if side.any():
+        return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    rows = np.arange(len(side))
+    return rows, rows
+
+
 def pairs_in(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a group: all of them within one block, or each row of one side with each of the other."""
     if side.any():

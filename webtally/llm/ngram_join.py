@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from webtally.llm.blocks import gathered, groups_of, linked, pairs_in, shared_buckets
+from webtally.llm.blocks import gathered, groups_of, linked, shared_buckets, sides
 from webtally.llm.components import components
 from webtally.llm.wording import gram_hashes, per_row, words_of
 from webtally.llm.workspace import keyed_texts, ship_package, slices, stored
@@ -88,31 +88,41 @@ def surviving(
     values: np.ndarray, side: np.ndarray, band: int, threshold: float, tolerance: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a group that share no band before this one and outlast the pruning."""
-    left, right = pairs_in(side)
-    parts = [
-        _outlasting(values, left[at : at + PAIRS], right[at : at + PAIRS], band, fewest_matches(threshold, tolerance))
-        for at in range(0, len(left), PAIRS)
-    ]
-    if not parts:
-        return left, right
+    rows, columns = sides(side)
+    # The 16-bit values of a band as one number of 64 bits.
+    bands = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint64)[:, : band + 1].T)
+    looks = np.ascontiguousarray(values.reshape(len(values), -1, STEP).transpose(1, 0, 2))
+    fewest = fewest_matches(threshold, tolerance)
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    height = max(1, PAIRS // max(1, len(columns)))
+    for at in range(0, len(rows), height):
+        some = rows[at : at + height]
+        new = bands[band, some, None] == bands[band, columns]
+        if band:
+            new &= bands[0, some, None] != bands[0, columns]
+        if columns is rows:
+            new &= some[:, None] < columns
+        left, right = np.nonzero(new)
+        parts.append(_outlasting(bands[1:band], looks, some[left], columns[right], fewest))
     left, right = (np.concatenate(x) for x in zip(*parts))
     return left, right
 
 
 def _outlasting(
-    values: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, fewest: tuple[int, ...]
+    earlier: np.ndarray, looks: np.ndarray, left: np.ndarray, right: np.ndarray, fewest: tuple[int, ...]
 ) -> tuple[np.ndarray, np.ndarray]:
-    for other in range(band + 1):
-        at = slice(other * ROWS, (other + 1) * ROWS)
-        same = (values[left, at] == values[right, at]).all(axis=1)
-        keep = same if other == band else ~same
+    for band in earlier:
+        if not len(left):
+            break
+        keep = band[left] != band[right]
         left, right = left[keep], right[keep]
     matches = np.zeros(len(left), np.int64)
-    for look, least in enumerate(fewest):
-        at = slice(look * STEP, (look + 1) * STEP)
-        matches += (values[left, at] == values[right, at]).sum(axis=1)
+    for look, least in zip(looks, fewest):
+        same = look.take(left, axis=0) == look.take(right, axis=0)
+        matches += np.bitwise_count(same.view(np.uint64)).sum(axis=1, dtype=np.int64)
         keep = matches >= least
-        left, right, matches = left[keep], right[keep], matches[keep]
+        if not keep.all():
+            left, right, matches = left[keep], right[keep], matches[keep]
     return left, right
 
 
@@ -122,20 +132,27 @@ def reaching(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresh
     if len(left) < 4 * len(sets):
         common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left, right)])
     else:
-        # A product of incidence matrices, over the grams that two sets or more have.
+        # A product of incidence matrices, over the grams that two sets or more have. Two
+        # blocks give the sets of one as rows and those of the other as columns.
         owner = np.repeat(np.arange(len(sets)), sizes)
         _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = count[column] > 1
         owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        products = np.zeros((len(sets), len(sets)), np.float32)
+        rows, columns = np.unique(left), np.unique(right)
+        if np.intersect1d(rows, columns, assume_unique=True).size:
+            rows = columns = slice(None)
+            row, at_column = left, right
+        else:
+            row, at_column = np.searchsorted(rows, left), np.searchsorted(columns, right)
+        products = np.float32(0)
         for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
             lo, hi = np.searchsorted(column, [at, at + COLUMNS])
             part = np.zeros((len(sets), COLUMNS), np.float32)
             part[owner[lo:hi], column[lo:hi] - at] = 1
-            products += part @ part.T
-        common = products[left, right].astype(np.int64)
+            products = products + part[rows] @ part[columns].T
+        common = products[row, at_column].astype(np.int64) if len(column) else np.zeros(len(left), np.int64)
     union = sizes[left] + sizes[right] - common
     return common >= threshold * union - 1e-9 * union
 
@@ -249,12 +266,12 @@ def join(
     sets = texts.join(candidates, "doc_id", "left_semi").mapInArrow(
         make_sets, f"class {kind}, digest binary, grams binary"
     )
-    sets = sets.join(classes.select("class", "digest", "copies"), ["class", "digest"]).dropDuplicates(["class"])
+    sets = sets.join(classes.select("class", "digest", "copies", "signature"), ["class", "digest"]).dropDuplicates(["class"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, group):
             sets = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
-            values = np.stack([signature(x) for x in sets])
+            values = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
             left, right = surviving(values, t["side"].to_numpy(), t["band"][0].as_py(), threshold, tolerance)
             near = reaching(sets, left, right, threshold)
             left, right = left[near], right[near]
@@ -267,7 +284,7 @@ def join(
                     names=["class", "other", "links"],
                 )
 
-    whole = needed.join(sets.select("class", "copies", "grams"), "class")
+    whole = needed.join(sets.select("class", "copies", "signature", "grams"), "class")
     found = gathered(whole, group).mapInArrow(
         verify, f"class {kind}, other {kind}, links bigint"
     )
