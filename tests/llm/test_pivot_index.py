@@ -89,3 +89,20 @@ def test_unusable_vectors_and_other_edges(spark):
     assert sorted(map(tuple, near_duplicates(without).collect()), key=str) == [
         (3, 0, 3, True), (None, 0, None, True), (None, 0, None, True)
     ]
+
+
+@pytest.mark.parametrize("cosine", [0.91, 0.95])
+def test_recall_in_a_group_of_a_third_of_the_rows(spark, cosine):
+    rng = np.random.default_rng(5)
+    n, hot = 21_000, 7_000
+    v = rng.normal(size=(n, 64))
+    centre = rng.normal(size=64)
+    spread = v[:hot] - np.outer(v[:hot] @ centre, centre) / (centre @ centre)
+    spread /= np.linalg.norm(spread, axis=1, keepdims=True)
+    v[:hot] = math.sqrt(cosine) * centre / np.linalg.norm(centre) + math.sqrt(1 - cosine) * spread
+    v = v.astype(np.float32)
+    unit = v / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    expected = sum(int((unit[a : a + 1000] @ unit.T >= 0.93).sum()) for a in range(0, n, 1000)) - n
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], SCHEMA)
+    found = near_duplicates(df).agg({"n_links": "sum"}).first()[0]
+    assert 0.99 * expected <= found <= expected

@@ -11,8 +11,11 @@ common pivot alone. Lists of any length are worked on in blocks (see
 :mod:`webtally.llm.blocks`); all rows are indexed.
 
 The pivots are a sample of at most ``MAX_PIVOTS`` vectors, twice the square root of
-their number below that. On vectors at a cosine of 0.93, right at the default threshold,
-between 0.994 and 1 of the pairs share enough pivots, for 64 to 1,024 pivots.
+their number below that, no two of them at a cosine of ``APART`` or more: a group of near
+copies, however large, has one pivot, and its members agree on the others. Where fewer
+than ``NEAREST`` are that far apart, all vectors are compared. On vectors at a cosine of
+0.93, right at the default threshold, between 0.994 and 1 of the pairs share enough
+pivots, for 64 to 1,024 pivots.
 
 Defined results: vectors that are NULL, zero, empty or hold NULL or non-finite components,
 and vectors without a label, link with nothing; so do vectors of different lengths. Rows
@@ -37,6 +40,8 @@ THRESHOLD = 0.93
 # Pivots that describe a vector, and how many of them a candidate must share.
 NEAREST, SHARED = 12, 4
 MAX_PIVOTS = 1024
+# No two pivots are at this cosine or closer; TRIED times their number of vectors are looked at for them.
+APART, TRIED = 0.8, 4
 BLOCK_MEMBERS = 1024
 # List of the vectors for whose length there are too few pivots: all of them are compared.
 NO_PIVOT = -1
@@ -59,16 +64,28 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return single.select("vec_id", "own.label", F.size("own.vector").alias("size"), "own.vector")
 
 
-def choose_pivots(vectors: DataFrame, most: int = MAX_PIVOTS) -> dict[int, np.ndarray]:
-    """By length of vector, the pivots: a sample by hash of at most ``most`` rows in all."""
+def choose_pivots(vectors: DataFrame, most: int = MAX_PIVOTS, apart: float = APART) -> dict[int, np.ndarray]:
+    """By length of vector, the pivots: at most ``most`` in all of a sample by hash, those closer to an earlier one left out."""
     n = vectors.count()
     number = max(1, min(most, max(4 * NEAREST, 2 * int(n**0.5))))
-    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(number).select("size", "vector").collect()
-    by_size: dict[int, list] = {}
-    for size, vector in sample:
-        by_size.setdefault(size, []).append(vector)
-    enough = {size: np.array(rows, np.float64) for size, rows in by_size.items() if len(rows) >= NEAREST}
-    return {size: _unit(rows) for size, rows in enough.items()}
+    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(TRIED * number).select("size", "vector").toArrow()
+    sizes = sample["size"].to_numpy()
+    by_size = {}
+    places = []
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        values = sample["vector"].take(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        unit = _unit(values.astype(np.float64).reshape(-1, size))
+        free, kept = np.ones(len(unit), bool), []
+        for i in range(len(unit)):
+            if free[i]:
+                kept.append(i)
+                free &= unit @ unit[i] < apart
+        by_size[size] = (unit[kept], at[kept])
+        places.append(at[kept])
+    places = np.sort(np.concatenate([np.empty(0, np.int64), *places]))[:number]
+    chosen = {size: unit[np.isin(at, places)] for size, (unit, at) in by_size.items()}
+    return {size: unit for size, unit in chosen.items() if len(unit) >= NEAREST}
 
 
 def describe(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
@@ -133,7 +150,7 @@ def near_duplicates(
         vectors[f"`{key}`"].alias("vec_id"), vectors[f"`{label}`"].alias("label"), vectors[f"`{vector}`"].alias("vector")
     )
     usable = stored(_usable(own), "vectors")
-    index = stored(describe(usable, choose_pivots(usable, max_pivots)), "pivot-index")
+    index = stored(describe(usable, choose_pivots(usable, max_pivots, min(APART, threshold))), "pivot-index")
 
     listed = F.slice(F.sort_array("nearest"), 1, NEAREST - SHARED + 1)
     lists = index.select("vec_id", "label", "size", F.explode(listed).alias("pivot"), F.lit(1).alias("one"))
