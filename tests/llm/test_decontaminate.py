@@ -146,3 +146,29 @@ def test_seeds_cover_every_stretch_of_an_item():
     seeds = decontaminate.with_rare_seeds(passages, distinct, rng.integers(0, 50, len(distinct)))
     at = np.sort(seeds.at)
     assert len(at) < 88 and at[0] < 4 and at[-1] >= 84 and np.diff(at).max() <= decontaminate.SEED_EVERY
+
+
+@pytest.mark.parametrize("edit", [5, 6, 0.2, 0.25])
+def test_items_that_leak_as_one_edited_copy_only(spark, edit):
+    rng = random.Random(7)
+    items = [(i, sample(rng, n)) for i, n in enumerate([15, 20, 30, 59, 60] * 8)]
+    docs = []
+    for i, item in items:
+        changed = [rng.random() < edit if edit < 1 else k % edit == edit - 1 for k in range(len(item))]
+        copy = [f"x{rng.randrange(10**6)}" if c else w for w, c in zip(item, changed)]
+        docs.append((i, sample(rng, 20) + copy + sample(rng, 20)))
+    scores = {(d, i): smith_waterman(item, w) / (2 * len(item)) for d, w in docs for i, item in items}
+    expected = {pair: score for pair, score in scores.items() if score >= 0.5}
+    assert len(expected) >= 30
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    bm = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id int, text string")
+    assert result(contaminated(df, bm)) == expected
+
+
+def test_runs_without_a_document_displace_no_seed():
+    passages = decontaminate.passages_of([(1, " ".join(sample(random.Random(1), 60)))])
+    distinct = np.unique(passages.gram)
+    n_docs = np.zeros(len(distinct), np.int64)
+    n_docs[np.searchsorted(distinct, passages.gram[passages.at % 5 == 2])] = 1000
+    seeds = decontaminate.with_rare_seeds(passages, distinct, n_docs)
+    assert sorted(seeds.at.tolist()) == list(range(2, 58, 5))

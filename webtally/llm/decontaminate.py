@@ -1,8 +1,9 @@
 """Training documents that hold test items of a benchmark, exact, edited or paraphrased in part.
 
-Runs of three words of the items are counted over all documents. Of every four runs in a
-row the one in the fewest documents is a *seed*: the seeds of an item are rare, and
-cover it evenly, however common the item itself is in the corpus. Documents are joined
+Runs of three words of the items are counted over all documents. Those in a few documents
+are *seeds*, and of every four in a row the one in the fewest documents that has any: the
+seeds of an item are rare, and cover it evenly, however common the item itself is in the
+corpus. A copy without three words in a row as they were is not found. Documents are joined
 with items on their seeds, and where seeds meet at about the same distance, the item is
 aligned with the words around by Smith and Waterman's recurrence. Its best score, as a
 share of the score of a whole copy, decides.
@@ -34,6 +35,8 @@ from webtally.llm.workspace import keyed_texts, ship_package, slices
 
 SEED_WORDS = 3
 SEED_EVERY = 4
+# Runs in so many documents or fewer are all seeds.
+RARE = 32
 PASSAGE = 128
 MIN_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -83,16 +86,22 @@ def _sorted(item: list, words: list, gram: np.ndarray, passage: np.ndarray, at:
 
 
 def with_rare_seeds(passages: Passages, distinct: np.ndarray, n_docs: np.ndarray) -> Passages:
-    """Keep the rarest of every ``SEED_EVERY`` runs in a row; equally rare ones in order of their hash."""
+    """Keep the runs in ``RARE`` documents at most, and the rarest of every ``SEED_EVERY`` runs in a row.
+
+    Runs that no document has join nothing. They are left out, and never the rarest of their
+    stretch where another one occurs. Equally rare ones go in order of their hash.
+    """
     count = n_docs[np.searchsorted(distinct, passages.gram)]
+    places = np.where(count > 0, count, np.iinfo(np.int64).max)
     order = np.lexsort((passages.at, passages.passage))
-    kept = []
+    kept = [np.flatnonzero(count <= RARE)]
     for own in np.split(order, np.flatnonzero(np.diff(passages.passage[order])) + 1):
-        rank = np.lexsort((passages.gram[own], count[own])).argsort()
+        rank = np.lexsort((passages.gram[own], places[own])).argsort()
         width = min(SEED_EVERY, len(own))
         windows = np.lib.stride_tricks.sliding_window_view(rank, width) if len(own) else np.empty((0, 1))
         kept.append(own[np.unique(windows.argmin(axis=1) + np.arange(len(windows)))])
-    some = np.concatenate([np.empty(0, np.int64), *kept]).astype(np.int64)
+    some = np.unique(np.concatenate(kept)).astype(np.int64)
+    some = some[count[some] > 0]
     return _sorted(passages.item, passages.words, passages.gram[some], passages.passage[some], passages.at[some])
 
 
