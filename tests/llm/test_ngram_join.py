@@ -189,3 +189,22 @@ def test_groups_across_batches(cut):
     table = pa.table({"g": [1, 1, 2, 3, 3, 3, 3, 4], "x": list(range(8))})
     groups = [g["x"].to_pylist() for g in blocks.groups_of(iter(table.to_batches(max_chunksize=cut)), ["g"])]
     assert groups == [[0, 1], [2], [3, 4, 5, 6], [7]]
+
+
+def test_blocks_without_rows(spark, monkeypatch):
+    # Two long texts in a bucket of many blocks, as from some 300,000 words each on.
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 16)
+    monkeypatch.setattr(ngram_join, "GRAMS_OF_A_MEMBER", 4)
+    rng = random.Random(8)
+    docs = []
+    for i in range(60):
+        base = sample(rng, 150)
+        docs += [(2 * i, base), (2 * i + 1, edited(rng, base, 2))]
+    assert result(join(spark.createDataFrame(docs, "doc_id bigint, text string"))) == brute(docs)
+
+
+def test_only_a_block_with_itself_pairs_rows_of_one_side():
+    side = np.zeros(3, np.int32)
+    assert [len(x) for x in blocks.pairs_in(side, False)] == [0, 0]
+    assert [len(x) for x in blocks.sides(side, False)] == [3, 0]
+    assert len(blocks.pairs_in(side, True)[0]) == 3

@@ -65,22 +65,27 @@ def groups_of(batches: Iterator[pa.RecordBatch], group: Sequence[str]) -> Iterat
         yield pa.Table.from_batches(held)
 
 
-def sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a group on the left and on the right of its pairs; the same array for a block with itself."""
-    if side.any():
+def sides(side: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a group on the left and on the right of its pairs; the same array for the ``same`` block with itself."""
+    if not same:
         return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     rows = np.arange(len(side))
     return rows, rows
 
 
-def pairs_in(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group: all of them within one block, or each row of one side with each of the other."""
-    if side.any():
+def pairs_in(side: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group: all of them within the ``same`` block, or each row of one side with each of the other."""
+    if not same:
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         return np.repeat(left, len(right)), np.tile(right, len(left))
     return np.triu_indices(len(side), 1)
 
 
+def within_block(group: pa.Table) -> bool:
+    """Whether a group is a block with itself. One of two blocks, of which one is empty, is not: it has no pairs."""
+    return group["lo"][0] == group["hi"][0]
+
+
 def linked(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of ``n`` rows linked by pairs: the weight of each row's partners, and the smallest row it is connected with."""
     total = np.zeros(n, np.int64)

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from webtally.llm.blocks import gathered, groups_of, linked, shared_buckets, sides
+from webtally.llm.blocks import gathered, groups_of, linked, shared_buckets, sides, within_block
 from webtally.llm.components import components
 from webtally.llm.wording import gram_hashes, per_row, words_of
 from webtally.llm.workspace import keyed_texts, ship_package, slices, stored
@@ -85,10 +85,13 @@ def fewest_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
 
 
 def surviving(
-    values: np.ndarray, side: np.ndarray, band: int, threshold: float, tolerance: float
+    values: np.ndarray, side: np.ndarray, band: int, threshold: float, tolerance: float, same: bool | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group that share no band before this one and outlast the pruning."""
-    rows, columns = sides(side)
+    """Pairs of a group that share no band before this one and outlast the pruning.
+
+    ``same`` tells whether the group is a block with itself; without it, a group of one side is.
+    """
+    rows, columns = sides(side, not side.any() if same is None else same)
     # The 16-bit values of a band as one number of 64 bits.
     bands = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint64)[:, : band + 1].T)
     looks = np.ascontiguousarray(values.reshape(len(values), -1, STEP).transpose(1, 0, 2))
@@ -247,7 +250,7 @@ def join(
         for t in groups_of(batches, group):
             values = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
             side = t["side"].to_numpy()
-            left, right = surviving(values, side, t["band"][0].as_py(), threshold, tolerance)
+            left, right = surviving(values, side, t["band"][0].as_py(), threshold, tolerance, within_block(t))
             if len(left):
                 needed = pa.array(np.unique(np.concatenate([left, right])))
                 yield from t.select(["class", *group, "side"]).take(needed).combine_chunks().to_batches()
@@ -272,7 +275,8 @@ def join(
         for t in groups_of(batches, group):
             sets = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
             values = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
-            left, right = surviving(values, t["side"].to_numpy(), t["band"][0].as_py(), threshold, tolerance)
+            side = t["side"].to_numpy()
+            left, right = surviving(values, side, t["band"][0].as_py(), threshold, tolerance, within_block(t))
             near = reaching(sets, left, right, threshold)
             left, right = left[near], right[near]
             if len(left):

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from webtally.llm.blocks import gathered, groups_of, linked, pairs_in, shared_buckets
+from webtally.llm.blocks import gathered, groups_of, linked, pairs_in, shared_buckets, within_block
 from webtally.llm.components import components
 from webtally.llm.workspace import ship_package, slices, stored
 
@@ -115,9 +115,9 @@ def describe(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return vectors.select("vec_id", "label", "size", "vector").mapInArrow(rows, schema)
 
 
-def _near(unit: np.ndarray, nearest: list[list[int]], side: np.ndarray, pivot: int, threshold: float):
+def _near(unit: np.ndarray, nearest: list[list[int]], side: np.ndarray, same: bool, pivot: int, threshold: float):
     """Pairs of a list's block that share enough pivots, this one as the lowest, and reach the threshold."""
-    left, right = pairs_in(side)
+    left, right = pairs_in(side, same)
     if pivot != NO_PIVOT:
         described = np.array(nearest)
         member = np.zeros((len(unit), int(described.max()) + 1), np.float32)
@@ -162,7 +162,8 @@ def near_duplicates(
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, group):
             unit = np.frombuffer(b"".join(t["vector"].to_pylist()), np.float64).reshape(t.num_rows, -1)
-            left, right = _near(unit, t["nearest"].to_pylist(), t["side"].to_numpy(), t["pivot"][0].as_py(), threshold)
+            side, nearest = t["side"].to_numpy(), t["nearest"].to_pylist()
+            left, right = _near(unit, nearest, side, within_block(t), t["pivot"][0].as_py(), threshold)
             if len(left):
                 total, root = linked(len(unit), left, right, np.ones(len(unit), np.int64))
                 some = np.flatnonzero(total)
