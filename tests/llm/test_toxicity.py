@@ -98,3 +98,17 @@ def test_without_two_kinds_of_labels(spark, labels, expected):
     d = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id bigint, text string")
     rows = score(d, spark.createDataFrame(labels, "doc_id bigint, toxic int"), ["toxic"]).collect()
     assert [r["p_toxic"] for r in rows] == pytest.approx([expected] * 2, abs=1e-9)
+
+
+def test_words_that_the_sample_lacks_are_learned(spark):
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(6000):
+        rare = i % 200 == 0
+        w = [f"w{rng.randrange(500)}" for _ in range(20)] + (["vile"] if rare else ["bad"] if i % 10 == 1 else [])
+        docs.append((i, " ".join(w)))
+        if i < 5600:
+            labels.append((i, int(rare or i % 10 == 1)))
+    df, lb = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    p = {r["doc_id"]: r["p_toxic"] for r in score(df, lb, ["toxic"], most=200).collect()}
+    assert p[5600] > 0.5 and p[5800] > 0.5 and p[5601] > 0.5 and p[5602] < 0.5

@@ -8,7 +8,8 @@ the other folds, and then on all.
 The words of the labelled documents are counted per category in Spark, and a model uses
 the words that tell its category apart beyond chance (a log-likelihood ratio of at least
 ``EVIDENCE``), the ``MAX_WORDS`` strongest at most. The fit itself is small: at most
-``MAX_LABELLED`` labelled documents, taken by hash of their id, with those words only.
+``MAX_LABELLED`` labelled documents, taken by hash of their id, with those words only. A
+word that fewer than ``SHOWN`` of them have brings in up to ``SHOWN`` more that have it.
 All documents are scored, on their whole texts.
 
 Words are runs of letters, digits and characters beyond ASCII, with A-Z in lower case. The
@@ -30,15 +31,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from webtally.llm.wording import NOT_LETTERS, per_row, words_of
 from webtally.llm.workspace import keyed_texts, ship_package, slices, stored
 
-MAX_LABELLED = 12_000
+MAX_LABELLED = 50_000
+SHOWN = 20
 # Bytes of the beginnings of words, which stand for all their endings.
 STEMS = (4, 5, 6, 7)
-MAX_WORDS = 1024
+MAX_WORDS = 4096
 MIN_DOCS = 5
 EVIDENCE = 25.0
 FOLDS = 3
@@ -74,16 +76,42 @@ def document_words(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(hashes[a:b])
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], most: int) -> DataFrame:
-    """``doc_id, text, own``: the sample of labelled documents, ``own`` holding a 0 or 1 per category."""
+def _labelled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], most: int | None = None) -> DataFrame:
+    """``doc_id, text, own``: the labelled documents or a sample of them, ``own`` holding a 0 or 1 per category."""
     known = F.lit(True)
     for c in categories:
         known &= F.col(c).isNotNull()
     rows = labels.where(F.col("doc_id").isNotNull() & known)
     single = rows.groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories])
-    chosen = single.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
-    own = chosen.select("doc_id", F.array(*categories).alias("own"))
-    return docs.join(F.broadcast(own), "doc_id")  # ``most`` rows of a few bytes
+    own = single.select("doc_id", F.array(*categories).alias("own"))
+    if most is None:
+        return docs.join(own, "doc_id")
+    chosen = own.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
+    return docs.join(F.broadcast(chosen), "doc_id")  # ``most`` rows of a few bytes
+
+
+def _with_rare_words(sample: DataFrame, labelled: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """The sample, and up to ``SHOWN`` labelled documents for each word that it hardly has."""
+    kind = labelled.schema["doc_id"].dataType.simpleString()
+
+    def words_in(df: DataFrame, wanted: np.ndarray) -> DataFrame:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                used = _used(part["text"], wanted)
+                row = np.repeat(np.arange(len(used)), [len(x) for x in used])
+                word = np.concatenate([np.empty(0, np.int64), *used]).astype(np.int32)
+                yield pa.record_batch([part["doc_id"].take(pa.array(row)), pa.array(word)], names=["doc_id", "word"])
+
+        return df.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, word int")
+
+    seen = words_in(sample, hashes).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SHOWN).toArrow()
+    rare = np.delete(hashes, seen["word"].to_numpy())
+    if not len(rare):
+        return sample
+    first = Window.partitionBy("word").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
+    shown = words_in(labelled, rare).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SHOWN)
+    more = shown.select("doc_id").distinct().join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
+    return sample.union(labelled.join(more, "doc_id", "left_semi").select(*sample.columns))
 
 
 def _select_words(labelled: DataFrame, n_categories: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -160,7 +188,7 @@ def fit(row: np.ndarray, word: np.ndarray, earlier: np.ndarray, y: np.ndarray, n
     x[-1] = np.log(positive / (n - positive))
     loss, gradient = value(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(100):
+    for _ in range(200):
         q, used = gradient.copy(), []
         for s, d in reversed(steps):
             a = (s @ q) / (s @ d)
@@ -182,7 +210,7 @@ def fit(row: np.ndarray, word: np.ndarray, earlier: np.ndarray, y: np.ndarray, n
         s, d = new - x, new_gradient - gradient
         if s @ d > 1e-12:
             steps = [*steps[-9:], (s, d)]
-        done = loss - new_loss < 1e-6 * max(1.0, abs(loss))
+        done = loss - new_loss < 1e-7 * max(1.0, abs(loss))
         x, loss, gradient = new, new_loss, new_gradient
         if done:
             break
@@ -200,8 +228,10 @@ def train(
     """Fit the chain. ``labels`` has ``doc_id`` and a 0/1 column per category, in the order of the chain."""
     ship_package(docs.sparkSession)
     texts = keyed_texts(docs, key, text)
-    labelled = stored(_labelled(texts, labels, categories, most).select("own", "text"), "labelled")
+    labelled = stored(_labelled(texts, labels, categories).select("doc_id", "own", "text"), "labelled")
     hashes, told = _select_words(labelled, len(categories))
+    sample = stored(_labelled(texts, labels, categories, most).select("doc_id", "own", "text"), "sample")
+    sample = _with_rare_words(sample, labelled, hashes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -210,8 +240,8 @@ def train(
                 names=["own", "words", "place"],
             )
 
-    # Copies of a text are in one fold. ``most`` rows of a few numbers each come to the driver.
-    placed = labelled.select("own", "text", F.xxhash64("text", "own").alias("place"))
+    # Copies of a text are in one fold. The rows of the sample, a few numbers each, come to the driver.
+    placed = sample.select("own", "text", F.xxhash64("text", "own").alias("place"))
     used = placed.mapInArrow(rows, "own array<int>, words array<int>, place bigint").toArrow().combine_chunks()
     used = used.sort_by("place")
     y = used["own"].combine_chunks().flatten().to_numpy().reshape(-1, len(categories)).astype(np.float64)
