@@ -1,0 +1,137 @@
+import random
+
+import pytest
+
+from webtally.llm import source_mix
+from webtally.llm.source_mix import mix, random_number, source_targets
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id bigint, text string, source string"
+
+
+def brute_targets(sizes, share=1.5, cycle=(5, 2, 1), cap=2):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: cycle[i % len(cycle)] for i, s in enumerate(names)}
+    total, full = share * sum(sizes.values()), set()
+    while True:
+        rest = [s for s in names if s not in full]
+        if not rest:
+            return {s: float(cap * sizes[s]) for s in names}
+        level = (total - cap * sum(sizes[s] for s in full)) / sum(weight[s] for s in rest)
+        new = {s for s in rest if level * weight[s] > cap * sizes[s]}
+        if not new:
+            return {s: float(cap * sizes[s]) if s in full else level * weight[s] for s in names}
+        full |= new
+
+
+def brute_taken(docs, rate, target, u, rounds=8):
+    """Words taken from one source: ``docs`` are (number, size), ``u`` their random numbers."""
+    whole = int(rate)
+    chance = rate - whole
+    copies = {i: whole for i, _ in docs}
+    gap = target - sum(whole * size for _, size in docs)
+    if chance == 0:
+        return copies
+    odds = {i: (u[i] / (1 - u[i])) / (chance / (1 - chance)) for i, _ in docs}
+    left = {i: size for i, size in docs if size > 0}
+    for _ in range(rounds):
+        if gap <= target * 0.001 or gap < 1:
+            break
+        upto, fitting = 0, []
+        for i in sorted((i for i in left if left[i] <= gap), key=odds.get):
+            upto += left[i]
+            if upto > gap:
+                break
+            fitting.append(i)
+        for i in fitting:
+            copies[i] += 1
+            gap -= left.pop(i)
+    return copies
+
+
+def some_docs(n=400, seed=1):
+    rng = random.Random(seed)
+    sizes = [0, 1, 2, 5, 10, 20, 50, 400]
+    return [(i, " ".join(["w"] * rng.choice(sizes)), rng.choice(["a", "a", "a", "b", "c", "ü", None])) for i in range(n)]
+
+
+def check_against_brute(spark, docs, rounds=8):
+    df = spark.createDataFrame(docs, SCHEMA)
+    u = {r[0]: r[1] for r in df.select("doc_id", random_number(F.col("doc_id"), F.col("text"))).collect()}
+    sizes = {}
+    for _, text, source in docs:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    targets = brute_targets(sizes)
+    want = {}
+    for s in sizes:
+        own = [(i, len((t or "").split())) for i, t, x in docs if x == s]
+        want |= brute_taken(own, targets[s] / sizes[s] if sizes[s] else 0.0, targets[s], u, rounds)
+    rows = mix(df).collect()
+    source_of = {i: s for i, _, s in docs}
+    assert {r["doc_id"]: r["copies"] for r in rows} == want
+    for r in rows:
+        assert r["target"] == targets[source_of[r["doc_id"]]]
+        assert r["source_size"] == sizes[source_of[r["doc_id"]]]
+        assert r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
+    return rows
+
+
+def test_equals_brute_force(spark):
+    rows = check_against_brute(spark, some_docs())
+    by_target = {}
+    for r in rows:
+        by_target.setdefault(r["target"], []).append(r["taken"])
+    for target, taken in by_target.items():
+        assert abs(sum(taken) - target) <= max(1, 0.01 * target)
+
+
+@pytest.mark.parametrize("leaf, finer", [(5, 4)])
+def test_cut_by_buckets(spark, monkeypatch, leaf, finer):
+    monkeypatch.setattr(source_mix, "LEAF", leaf)
+    monkeypatch.setattr(source_mix, "FINER", finer)
+    monkeypatch.setattr(source_mix, "ROUNDS", 2)
+    check_against_brute(spark, some_docs(150, 3), rounds=2)
+
+
+def test_many_sources_are_joined_with_salts(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "MAX_BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(source_mix, "SALTS", 4)
+    monkeypatch.setattr(source_mix, "ROUNDS", 2)
+    check_against_brute(spark, some_docs(120, 4), rounds=2)
+
+
+def test_weights_change_probabilities_and_stop_at_the_cap(spark):
+    docs = [(i, "w " * 10, "a", [0.0, 1.0, 4.0, 100.0][i % 4], "clash") for i in range(800)]
+    df = spark.createDataFrame(docs, SCHEMA + ", weight double, size string")
+    rows = mix(df, share=0.8, cycle=(1,), weight="weight").collect()
+    copies = [[r["copies"] for r in rows if r["doc_id"] % 4 == k] for k in range(4)]
+    assert set(copies[0]) == {0} and set(copies[3]) == {2}
+    # what two copies of the heaviest leave is shared 1 to 4 by the others: 6,400 words less 4,000
+    assert abs(sum(copies[1]) - 48) <= 20 and abs(sum(copies[2]) - 192) <= 20
+    assert abs(sum(r["taken"] for r in rows) - 6400) <= 10
+
+
+def test_probabilities_hold_over_seeds(spark):
+    df = spark.createDataFrame([(i, "w " * (1 + i % 3), "a") for i in range(300)], SCHEMA)
+    runs = [{r["doc_id"]: r["copies"] for r in mix(df, share=0.3, cycle=(1,), seed=s).collect()} for s in range(3)]
+    assert runs[0] != runs[1]
+    by_size = [sum(x[i] for x in runs for i in range(300) if i % 3 == k) / 300 for k in range(3)]
+    assert all(abs(x - 0.3) < 0.11 for x in by_size)
+
+
+def test_edge_cases(spark):
+    docs = [(None, "a b c", "x"), (None, "a b c", "x"), (1, None, "x"), (2, "", None), (3, "w " * 200_000, "y"), (3, "w", "y"), (4, "q", "")]
+    df = spark.createDataFrame([(*d, 1, "z") for d in docs], SCHEMA + ", size int, place string")
+    first, again = (sorted(mix(df).collect(), key=str) for _ in range(2))
+    assert first == again and len(first) == len(docs)
+    assert [r["size"] for r in first if r["doc_id"] == 1] == [0] and all(r["taken"] <= 2 * r["size"] for r in first)
+    alike = {r["copies"] for r in first if r["doc_id"] is None}
+    assert len(alike) == 1
+    assert mix(df.limit(0)).collect() == []
+    assert [r["target"] for r in mix(spark.createDataFrame([(1, None, None)], SCHEMA)).collect()] == [0.0]
+
+
+def test_targets_where_all_sources_are_full(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 20)], "source string, source_size bigint")
+    rows = source_targets(sizes, share=5).collect()
+    assert {r["source"]: r["target"] for r in rows} == {"a": 20.0, "b": 40.0}
