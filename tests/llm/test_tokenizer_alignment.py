@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 from bisect import bisect_right
 from collections import Counter
@@ -103,11 +104,23 @@ def test_edge_cases(spark, vocabularies):
 
 def test_groups_without_common_ends_are_not_multiplied_out():
     a, b = [1, 2] * 5000, [7, 8, 9] * 4000
-    found = ta.links([(a, b)])
-    assert len(found) == 6 and found.total() == len(a) * len(b)
+    found, times = ta.links(a, b, [0, len(a)], [0, len(b)])
+    assert len(found) == 6 and times.sum() == len(a) * len(b)
 
 
 def test_special_strings_are_plain_text(vocabularies):
     encoders = ta.Encoders(vocabularies)
     ((a, b),) = encoders.encode(["<|endoftext|>"])
     assert 50256 not in a and len(a) > 1 and len(b) > 1
+
+
+def test_ranks_and_library_agree(vocabularies):
+    """On every character in several places; a file that does more than merge is left to the library."""
+    encoders = ta.Encoders(vocabularies)
+    assert encoders.ranked is not None
+    letters = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x20000, 3)]]
+    texts = [f"a{c} {c}{c}1{c} {c}!" for c in letters]
+    by_library = encoders.a.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.ids for x in by_library] == [encoders.ranked.encode_ordinary(t) for t in texts]
+    written = json.loads(vocabularies.a)
+    assert ta._ranked(written | {"normalizer": {"type": "NFC"}}) is None

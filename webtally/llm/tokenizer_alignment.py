@@ -23,13 +23,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
@@ -38,11 +39,15 @@ from webtally.llm.workspace import keyed_texts, ship_package, slices, stored
 
 # Fixed value: the mark that a piece has for a space.
 SPACE_MARK = "▁"
+# Fixed value: how byte-level BPE splits a text before its merges.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 MOST_COMMON = 400_000
 # Bytes of text that are encoded at a time, unless one text has more, and pairs counted before they are sent on.
 BATCH_BYTES = 1 << 20
 COUNTED = 1 << 20
+# Groups of more links than this are worked out from their distinct ids.
+SMALL_GROUP = 64
 
 
 class Vocabularies(NamedTuple):
@@ -65,8 +70,31 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _bytes_of(token: str, alphabet: dict[str, int]) -> bytes:
+    return bytes(alphabet[c] for c in token)
+
+
+def _ranked(written: dict) -> tiktoken.Encoding | None:
+    """The tokenizer of a byte-level BPE file by its ranks, if its merges are in order of the ids and nothing else is done.
+
+    It gives the same ids several times faster.
+    """
+    alphabet, model, split = byte_alphabet(), written["model"], written.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not plain or written.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    special = {x["content"] for x in written.get("added_tokens", [])}
+    ranks = {_bytes_of(t, alphabet): i for t, i in model["vocab"].items() if t not in special}
+    merged = [_bytes_of("".join(m) if isinstance(m, list) else m.replace(" ", ""), alphabet) for m in model["merges"]]
+    single = [ranks.get(bytes([b]), -1) for b in range(256)]
+    ids = [ranks.get(m, -1) for m in merged]
+    if min(single) < 0 or max(single) > min(ids) or ids != sorted(set(ids)) or len(ranks) != 256 + len(ids):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoders:
-    """Both tokenizers, and the bytes of each of their tokens."""
+    """Both tokenizers, and for each of their tokens its bytes, number of bytes and id as text."""
 
     def __init__(self, vocabularies: Vocabularies) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -74,59 +102,77 @@ class Encoders:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        written = json.loads(vocabularies.a)
+        self.ranked = _ranked(written)
         alphabet = byte_alphabet()
-        special = {x["id"] for x in json.loads(vocabularies.a).get("added_tokens", [])}
+        special = {x["id"] for x in written.get("added_tokens", [])}
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
-            self.bytes_a[i] = token.encode() if i in special else bytes(alphabet[c] for c in token)
+            self.bytes_a[i] = token.encode() if i in special else _bytes_of(token, alphabet)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=vocabularies.b)
         self.bytes_b = [
             bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i)
             else self.b.id_to_piece(i).replace(SPACE_MARK, " ").encode()
             for i in range(self.b.get_piece_size())
         ]
-        self.sizes_a = np.array([len(x) for x in self.bytes_a])
-        self.sizes_b = np.array([len(x) for x in self.bytes_b])
+        self.sizes_a, self.sizes_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.names_a, self.names_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of every text by A and B, both empty where they do not spell it."""
-        encoded = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        if self.ranked is not None:
+            encoded = map(self.ranked.encode_ordinary, [" " + t for t in texts])
+        else:
+            encoded = (x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False))
         for text, a, b in zip(texts, encoded, self.b.encode(texts, num_threads=1)):
-            a, want = a.ids, b" " + text.encode()
-            spelled = bool(text) and b"".join([self.bytes_a[i] for i in a]) == want
-            if spelled and b"".join([self.bytes_b[i] for i in b]) == want:
+            want = b" " + text.encode()
+            spelled = bool(text) and b"".join(map(self.bytes_a.__getitem__, a)) == want
+            if spelled and b"".join(map(self.bytes_b.__getitem__, b)) == want:
                 yield a, b
             else:
                 yield [], []
 
 
-def groups(a: list[int], b: list[int], sizes_a: np.ndarray, sizes_b: np.ndarray) -> Iterator[tuple[list[int], list[int]]]:
-    """Both lists of ids cut where a token of each ends at the same byte."""
-    ends_a = dict(zip(np.cumsum(sizes_a[a]).tolist(), range(1, len(a) + 1))) if a else {}
-    ends_b = dict(zip(np.cumsum(sizes_b[b]).tolist(), range(1, len(b) + 1))) if b else {}
-    from_a = from_b = 0
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        to_a, to_b = ends_a[end], ends_b[end]
-        yield a[from_a:to_a], b[from_b:to_b]
-        from_a, from_b = to_a, to_b
-
-
-def links(cut: list[tuple[list[int], list[int]]]) -> Counter:
-    """How often each id pair is linked."""
-    found: Counter = Counter()
-    several = []
-    for a, b in cut:
-        if len(a) == 1 and len(b) == 1:
-            several.append((a[0], b[0]))
-        elif len(a) * len(b) <= 64:
-            several.extend([(x, y) for x in a for y in b])
+def cuts(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) -> tuple[list[int], list[int]]:
+    """Where both lists of ids are cut: how many tokens of each end at the same byte, from 0 tokens on."""
+    ends_a = dict(zip(accumulate(map(sizes_a.__getitem__, a)), range(1, len(a) + 1)))
+    ends_b = dict(zip(accumulate(map(sizes_b.__getitem__, b)), range(1, len(b) + 1)))
+    common = [*filter(ends_b.__contains__, ends_a)]  # a dictionary keeps its order, so they ascend
+    return [0, *map(ends_a.__getitem__, common)], [0, *map(ends_b.__getitem__, common)]
+
+
+def written_groups(a: list[str], b: list[str], at_a: list[int], at_b: list[int]) -> str:
+    """The groups of both lists of ids as text."""
+    spans = zip(at_a, at_a[1:], at_b, at_b[1:])
+    return ";".join(
+        [a[i] + "|" + b[k] if j - i == 1 == m - k else ",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in spans]
+    )
+
+
+def links(a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct linked id pairs, as one number each and ascending, and how often each is linked."""
+    ids_a, ids_b = np.array(a, np.int64) << 32, np.array(b, np.int64)
+    from_a, from_b = np.array(at_a), np.array(at_b)
+    single = (np.diff(from_a) == 1) & (np.diff(from_b) == 1)
+    pairs = [ids_a[from_a[:-1][single]] | ids_b[from_b[:-1][single]]]
+    weights = [np.ones(len(pairs[0]), np.int64)]
+    more: list[int] = []
+    for g in np.flatnonzero(~single).tolist():
+        xs, ys = a[at_a[g] : at_a[g + 1]], b[at_b[g] : at_b[g + 1]]
+        if len(xs) * len(ys) <= SMALL_GROUP:
+            more += [x << 32 | y for x in xs for y in ys]
         else:
-            times_b = Counter(b)
-            for x, n in Counter(a).items():
-                for y, m in times_b.items():
-                    found[x, y] += n * m
-    found.update(several)
-    return found
+            (x, n), (y, m) = (np.unique(np.array(z, np.int64), return_counts=True) for z in (xs, ys))
+            pairs.append(((x << 32)[:, None] | y[None, :]).ravel())
+            weights.append((n[:, None] * m[None, :]).ravel())
+    pairs.append(np.array(more, np.int64))
+    if len(pairs) == 2:  # each link counts once
+        return np.unique(np.concatenate(pairs), return_counts=True)
+    weights.append(np.ones(len(more), np.int64))
+    found, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    times = np.zeros(len(found), np.int64)
+    np.add.at(times, at, np.concatenate(weights))
+    return found, times
 
 
 def _encoders(known: list[Encoders], vocabularies) -> Encoders:
@@ -153,15 +199,13 @@ def linked_documents(docs: DataFrame, vocabularies: Vocabularies, key: str = "do
             encoders = _encoders(known, shared)
             counts, digests, ids = [], [], []
             for a, b in encoders.encode([t or "" for t in part["text"].to_pylist()]):
-                cut = list(groups(a, b, encoders.sizes_a, encoders.sizes_b))
-                written = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in cut])
-                digests.append(hashlib.sha256(written.encode()).hexdigest() if cut else "")
-                found = links(cut)
-                counts.append((len(a), len(b), len(cut), found.total()))
-                pairs = np.array([*found], np.int32).reshape(-1, 2)
-                order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-                times = np.fromiter(found.values(), np.int64, len(found))
-                ids.append((pairs[order, 0], pairs[order, 1], times[order]))
+                at_a, at_b = cuts(a, b, encoders.sizes_a, encoders.sizes_b)
+                names = (list(map(n.__getitem__, x)) for n, x in ((encoders.names_a, a), (encoders.names_b, b)))
+                written = written_groups(*names, at_a, at_b)
+                digests.append(hashlib.sha256(written.encode()).hexdigest() if a else "")
+                found, times = links(a, b, at_a, at_b)
+                counts.append((len(a), len(b), len(at_a) - 1, int(times.sum())))
+                ids.append((found >> 32, found & 0xFFFFFFFF, times))
             table = {"row": pa.array(range(number, number + part.num_rows), pa.int64()), "doc_id": part["doc_id"]}
             number += part.num_rows
             for i, name in enumerate(("n_a", "n_b", "n_groups", "n_links")):
@@ -169,7 +213,7 @@ def linked_documents(docs: DataFrame, vocabularies: Vocabularies, key: str = "do
             table["groups_sha256"] = pa.array(digests, pa.string())
             for i, (name, kind) in enumerate((("a", pa.int32()), ("b", pa.int32()), ("times", pa.int64()))):
                 offsets = np.cumsum([0, *[len(x[i]) for x in ids]], dtype=np.int32)
-                values = np.concatenate([x[i] for x in ids])
+                values = np.concatenate([x[i] for x in ids]).astype(kind.to_pandas_dtype())
                 table[name] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
             yield pa.record_batch(table)
 
