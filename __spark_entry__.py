@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,6 +24,9 @@ REWRITTEN_RULES = ("com", "jp", "co.jp", "*.kawasaki.jp", "!city.kawasaki.jp")
 MIN_WEBSITE_PAGES = 60
 MIN_HOST_PAGES = 10
 
+# Standard error of a sketch of the usual size.
+SKETCH_ERROR = 1.04 / 2 ** (fq.SKETCH_BITS / 2)
+
 STOP_WORDS = ("the", "de", "la")
 
 # The fixtures have no Arabic script. These one-to-one maps derive some from their
@@ -201,6 +205,18 @@ def text_profile_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.text_profile_first_seen(_texts(spark, sf_dir), "doc_id")
 
 
+def distinct_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts per language and of all, from sketches stored per language and source as of several crawls."""
+    docs = _documents(spark, sf_dir)
+    sketches = materialize(fq.distinct_sketches(docs, "text", ["lang", "source"]), "sketches")
+    merged = fq.merge_sketches(sketches, ["lang"]).unionByName(fq.merge_sketches(sketches, []), allowMissingColumns=True)
+    exact = docs.rollup("lang").agg(F.count_distinct("text").alias("n_exact"))
+    estimated = fq.sketched_distinct(merged).withColumnRenamed("lang", "of")
+    both = exact.join(estimated, exact["lang"].eqNullSafe(estimated["of"]))
+    error = F.abs(F.col("n_distinct") - F.col("n_exact")) / F.col("n_exact")
+    return both.select("lang", "n_exact", (error <= 4 * SKETCH_ERROR).alias("within"))
+
+
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.table_profile(_documents(spark, sf_dir))
 
@@ -266,22 +282,17 @@ def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wd.term_weights(_distinct_texts(spark, sf_dir), 2000, STOP_WORDS)
 
 
-# The training-data operators live in a subpackage of their own, and may be absent.
+# The training-data operators live in a subpackage of their own. It, or a module that it needs, may be absent.
+TRAINING_DATA_QUERIES, TRAINING_DATA_SQL = {}, {}
 try:
     from webtally.llm import queries as training_data
-except ModuleNotFoundError as missing:
-    if not str(missing.name).startswith("webtally.llm"):
-        raise
-    TRAINING_DATA_QUERIES, TRAINING_DATA_SQL = {}, {}
-else:
+
     TRAINING_DATA_QUERIES, TRAINING_DATA_SQL = training_data.queries(), training_data.ORACLE_SQL
-try:
     import corpus_pipeline
-except ModuleNotFoundError as missing:
-    if missing.name != "corpus_pipeline" and not str(missing.name).startswith("webtally.llm"):
-        raise
-else:
+
     TRAINING_DATA_QUERIES = TRAINING_DATA_QUERIES | {"pipeline": corpus_pipeline.run}
+except ModuleNotFoundError as missing:
+    warnings.warn(f"queries for training data are left out: no module {missing.name}", stacklevel=1)
 
 QUERIES = (
     corpus_select, corpus_count, corpus_head, meta_flatten, meta_head,
@@ -289,7 +300,7 @@ QUERIES = (
     website_counts, website_distinct, website_top, website_threshold, website_reconcile, website_treemap,
     website_reconcile_nulls, treemap_levels, host_threshold,
     text_normalize, numeral_unify, cast_string, normalized_dedup,
-    text_profile, text_profile_first_seen, table_profile,
+    text_profile, text_profile_first_seen, distinct_sketch, table_profile,
     duplicate_flag, duplicate_count, duplicate_rows, duplicate_head, dedup, dedup_input_order, dedup_count,
     tokens_head, token_counts, top_tokens, top_tokens_first_seen,
     word_count_hist, word_count_stats, term_weights,
@@ -428,6 +439,10 @@ def oracle_sql() -> dict[str, str]:
                    (SELECT text FROM groups ORDER BY n DESC, first LIMIT 1) AS top, max(n) AS freq,
                    (SELECT first FROM groups ORDER BY n DESC, first LIMIT 1) AS top_key
             FROM groups""",
+        # both estimates and exact numbers are worked out in the query; the numbers must agree, and the estimates be close
+        "distinct_sketch": """
+            SELECT lang, count(DISTINCT text) AS n_exact, true AS within FROM documents GROUP BY lang
+            UNION ALL SELECT NULL, count(DISTINCT text), true FROM documents""",
         "table_profile": """
             SELECT 0 AS position, 'doc_id' AS "column", count(doc_id) AS non_null, 'bigint' AS dtype FROM documents
             UNION ALL SELECT 1, 'text', count(text), 'string' FROM documents

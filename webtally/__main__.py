@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from webtally.plans.materialize import scratch
 from webtally.plans.reports import corpus_report
-from webtally.sources import read_corpus, read_suffix_list, write_tables
+from webtally.sources import publish_tables, read_corpus, read_suffix_list, write_tables
 
 
 def parse_args(args: list[str] | None = None) -> argparse.Namespace:
@@ -30,6 +30,9 @@ def parse_args(args: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--max-words", type=int, default=2000, help="terms to weigh")
     parser.add_argument("--stop-words", nargs="*", default=[], help="terms to leave out")
     parser.add_argument("--bucketed", type=int, metavar="BUCKETS", help="write cleaned texts by key; needs a catalog")
+    parser.add_argument(
+        "--publish", action="store_true", help="write a run of its own, which readers of the newest run see as a whole"
+    )
     parser.add_argument("--null-as", help="text to use for missing texts")
     return parser.parse_args(args)
 
@@ -50,7 +53,8 @@ def main(args: list[str] | None = None) -> None:
             null_as=options.null_as,
             buckets=options.bucketed,
         )
-        write_tables(tables, options.out, options.out_format)
+        write = publish_tables if options.publish else write_tables
+        write(tables, options.out, options.out_format)
 
 
 if __name__ == "__main__":

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from webtally.functions.normalize import SORANI_ARABIC, Rule, normalize_text
 from webtally.operators import dedup as dd, frequency as fq, profile as pf, websites as ws, words as wd
 from webtally.plans.materialize import materialize
 
+# Columns beside key and text of what one pass over a corpus keeps.
+URL = "_url"
+PRESENT = "_present"
+
 
 def website_report(
     df: DataFrame, rules: DataFrame, url: Column | str, minimum: int = 1000, n_top: int = 15
@@ -37,7 +41,7 @@ def clean_texts(
 
 def marked_texts(df: DataFrame, key: str, text: str, groups: DataFrame) -> DataFrame:
     """The texts with their numbers of copies, written once for duplicates and words: texts are shuffled here only."""
-    return materialize(dd.with_copies(df.select(key, text), key, text, groups), "marked-texts")
+    return materialize(dd.with_copies(df.select(key, text), key, text, groups, strict=True), "marked-texts")
 
 
 def duplicate_report(
@@ -70,7 +74,7 @@ def word_report(
     """Word statistics of the distinct texts, which are written once for all tables."""
     groups = materialize(dd.text_groups(df, key, text), "text-groups") if groups is None else groups
     marked = marked_texts(df, key, text, groups) if marked is None else marked
-    texts = dd.checked_dedup(dd.first_copies(marked), groups, key)
+    texts = dd.first_copies(marked)
     hist = materialize(wd.word_count_hist(texts, text), "word-counts")
     return {
         "dedup_count": pf.row_count(texts),
@@ -97,23 +101,39 @@ def corpus_report(
 ) -> dict[str, DataFrame]:
     """All report tables of a corpus.
 
-    Websites are counted over all rows. Texts are normalised and grouped, both written
-    once, and then profiled; words are counted over the distinct ones. With ``buckets`` they are
+    The corpus is read once, for a table of keys, URLs, cleaned texts and which columns have values.
+    All else comes from that table, of which every analysis reads the columns it needs; the
+    preview looks its few keys up in the corpus. Texts are grouped and then profiled; words are
+    counted over the distinct ones. With ``buckets`` that table is
     written by key in so many, so that marking copies moves no text again. Call it and write the
     tables within :func:`webtally.plans.materialize.scratch` to have what they share dropped.
     """
-    texts = clean_texts(df.select(key, text), text, null_as=null_as)
-    cleaned = materialize(texts, "clean-texts", bucket_by=None if buckets is None else key, buckets=buckets)
+    raw_url = F.col(url) if isinstance(url, str) else url
+    own = df.select(key, text, raw_url.alias(URL), pf.presence(df).alias(PRESENT))
+    passed = clean_texts(own, text, null_as=null_as)
+    kept = materialize(passed, "clean-texts", bucket_by=None if buckets is None else key, buckets=buckets)
+    cleaned = kept.select(key, text)
     groups = materialize(dd.text_groups(cleaned, key, text), "text-groups")
     marked = marked_texts(cleaned, key, text, groups)
-    urls = df.select(key, (F.col(url) if isinstance(url, str) else url).alias("url"))
     return {
-        "corpus_count": pf.row_count(df),
-        "corpus_head": pf.head(df, key, n_head),
-        "meta_head": pf.head(urls, key, n_head),
-        "table_profile": pf.table_profile(df),
+        "corpus_count": pf.row_count(kept),
+        "corpus_head": preview(df, kept.select(key), key, n_head),
+        "meta_head": pf.head(kept.select(key, F.col(URL).alias("url")), key, n_head),
+        "table_profile": pf.table_profile_from(kept, PRESENT, df.dtypes),
         "clean_profile": pf.table_profile(cleaned),
-        **website_report(df, rules, url, minimum),
+        **website_report(kept, rules, URL, minimum),
         **duplicate_report(cleaned, key, text, groups=groups, marked=marked),
         **word_report(cleaned, key, text, max_words, stop_words=stop_words, groups=groups, marked=marked),
     }
+
+
+def preview(df: DataFrame, keys: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows of ``df``, whose ``keys`` are known from a table that is cheap to read.
+
+    Keys are looked up as constants, by which Parquet skips the row groups without them. Keys made
+    while reading, such as places in files, cannot be looked up.
+    """
+    if isinstance(keys.schema[key].dataType, T.StructType):
+        return pf.head(df, key, n)
+    first = [row[0] for row in pf.head(keys, key, n).collect()]
+    return pf.head(df.where(F.col(key).isin(first)), key, n)

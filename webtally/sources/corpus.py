@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -53,12 +55,21 @@ def read_corpus(
 
 
 def with_input_order(df: DataFrame, name: str = "input_order") -> DataFrame:
-    """Add a unique, orderable key from the place of each row: its file's path, then its row in it.
+    """Add a unique, orderable key from the place of each row in the files that ``df`` reads.
 
-    For Parquet without a key of its own. The same files give the same keys in every run,
-    and no sort or numbering job is needed.
+    For tables without a key of their own. In Parquet that is the file's path and the row in it.
+    Other formats do not number their rows: there it is the path, the byte at which the row's split of the
+    file starts, and the row's place among those that its task has read. A task reads a split from front to
+    back, so these ascend within it. The same files and split sizes give the same keys in every
+    run, and no sort or numbering job is needed. Add it to the table as read, before any filter or shuffle.
     """
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    file = F.col("_metadata.file_path").alias("file")
+    if "row_index" in df.select("_metadata").schema["_metadata"].dataType.names:
+        place = F.struct(file, F.col("_metadata.row_index").alias("row"))
+    else:
+        # the number of the partition is above these bits
+        row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        place = F.struct(file, F.col("_metadata.file_block_start").alias("split"), row.alias("row"))
     return df.select(place.alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -93,7 +104,41 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str
     writer.saveAsTable(table, format="parquet")
 
 
+MANIFESTS = "manifests"
+
+
 def write_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """Write each report table (chart data, weights, metrics) to its own folder under ``path``."""
+    """Write each report table (chart data, weights, metrics) to its own folder under ``path``, over what is there.
+
+    :func:`publish_tables` is for reports that are read while they are written again.
+    """
     for name, table in tables.items():
         table.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{name}")
+
+
+def publish_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> str:
+    """Write report tables so that they appear together, and return their folder.
+
+    Each run has a folder of its own under ``path``, with one folder per table. A manifest with the names
+    of the tables is written last, as one file. :func:`read_tables` follows the newest manifest, so a run
+    that fails leaves what was there before, and a reader never sees tables of two runs.
+    """
+    if not tables:
+        raise ValueError("no tables to write")
+    root = path.rstrip("/")
+    started = time.time_ns()
+    run = f"run-{started:020d}-{uuid.uuid4().hex}"
+    for name, table in tables.items():
+        table.write.format(fmt).save(f"{root}/{run}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    manifest = spark.range(1).select(F.lit(run).alias("run"), F.lit(fmt).alias("format"), F.array(*map(F.lit, tables)).alias("tables"))
+    manifest.coalesce(1).write.mode("append").json(f"{root}/{MANIFESTS}")
+    return f"{root}/{run}"
+
+
+def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the newest finished run that :func:`publish_tables` has written to ``path``."""
+    root = path.rstrip("/")
+    schema = "run string, format string, tables array<string>"
+    newest = spark.read.schema(schema).json(f"{root}/{MANIFESTS}").orderBy(F.desc("run")).first()
+    return {name: spark.read.format(newest["format"]).load(f"{root}/{newest['run']}/{name}") for name in newest["tables"]}
