@@ -112,3 +112,34 @@ def test_words_that_the_sample_lacks_are_learned(spark):
     df, lb = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
     p = {r["doc_id"]: r["p_toxic"] for r in score(df, lb, ["toxic"], most=200).collect()}
     assert p[5600] > 0.5 and p[5800] > 0.5 and p[5601] > 0.5 and p[5602] < 0.5
+
+
+def test_fit_by_blocks_equals_a_dense_fit(monkeypatch):
+    """Weights of blocks of a few words against plain Newton steps on the whole matrix."""
+    rng = np.random.default_rng(3)
+    n, m = 300, 40
+    x = rng.random((n, m)) < 0.15
+    x[7] = False
+    earlier = rng.normal(size=(n, 1))
+    y = (x[:, 0] * 2.0 - x[:, 1] + earlier[:, 0] + rng.normal(size=n) > 0.3).astype(float)
+    row, word = np.nonzero(x)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 16)
+    model = toxicity.fit(row, word, earlier, y, m)
+    dense = np.column_stack([x, earlier, np.ones(n)])
+    penalty = np.append(np.full(m + 1, toxicity.PENALTY), 0)
+    w = np.zeros(m + 2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-dense @ w))
+        w -= np.linalg.solve((dense.T * (p * (1 - p))) @ dense + np.diag(penalty), dense.T @ (p - y) + penalty * w)
+    got = np.concatenate([model.words, model.earlier, [model.intercept]])
+    assert np.abs(got - w).max() < 5e-3
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 1 << 30)
+    whole = toxicity.fit(row, word, earlier, y, m)
+    assert np.abs(model.words - whole.words).max() < 1e-6 and abs(model.intercept - whole.intercept) < 1e-6
+
+
+def test_part_of_an_incidence(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 3)
+    used = toxicity.Incidence(np.array([0, 2, 2, 5, 6]), np.array([0, 1, 0, 1, 2, 2], np.int32))
+    part = used.part(np.array([True, True, False, True]), np.array([True, False, True]))
+    assert part.bounds.tolist() == [0, 1, 1, 2] and part.word.tolist() == [0, 2]

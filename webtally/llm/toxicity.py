@@ -46,6 +46,8 @@ EVIDENCE = 25.0
 FOLDS = 3
 PENALTY = 0.1
 LIMIT = 0.5
+# Words of so many are worked on at a time while fitting.
+BLOCK_WORDS = 1 << 17
 # Log-odds fed to later models stay within these bounds.
 FARTHEST = 8.0
 
@@ -163,12 +165,51 @@ def _used(texts: pa.Array, hashes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _log_odds(model: Linear, row: np.ndarray, word: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    n = len(earlier)
-    return model.intercept + np.bincount(row, model.words[word], n) + earlier @ model.earlier
+class Incidence(NamedTuple):
+    """Which words every document has: document ``i`` those from ``bounds[i]`` to ``bounds[i + 1]``.
+
+    Only the words are as long as all documents together. Whatever else is made per word is made for
+    a block of documents at a time.
+    """
+
+    bounds: np.ndarray
+    word: np.ndarray
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """The documents of each block, and for each of its words the place of its document in it and the word."""
+        at, n = 0, len(self.bounds) - 1
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(self.bounds, self.bounds[at] + BLOCK_WORDS, side="right")) - 1)
+            sizes = np.diff(self.bounds[at : to + 1])
+            yield slice(at, to), np.repeat(np.arange(to - at), sizes), self.word[self.bounds[at] : self.bounds[to]]
+            at = to
+
+    def part(self, documents: np.ndarray, words: np.ndarray) -> Incidence:
+        """The marked documents with the marked words."""
+        kept, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for own, row, word in self.blocks():
+            mine = documents[own]
+            into = mine[row] & words[word]
+            kept.append(word[into])
+            sizes.append(np.bincount(row[into], minlength=len(mine))[mine])
+        return Incidence(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(kept))
+
+
+def _log_odds(model: Linear, used: Incidence, earlier: np.ndarray) -> np.ndarray:
+    z = model.intercept + earlier @ model.earlier
+    for own, row, word in used.blocks():
+        z[own] += np.bincount(row, model.words[word], own.stop - own.start)
+    return z
 
 
 def fit(row: np.ndarray, word: np.ndarray, earlier: np.ndarray, y: np.ndarray, n_words: int) -> Linear:
+    """:func:`fit_documents` for pairs of a document's number and a word."""
+    order = np.argsort(row, kind="stable")
+    used = Incidence(np.searchsorted(row[order], np.arange(len(y) + 1)), word[order].astype(np.int32))
+    return fit_documents(used, earlier, y, n_words)
+
+
+def fit_documents(used: Incidence, earlier: np.ndarray, y: np.ndarray, n_words: int) -> Linear:
     """Penalised logistic regression, by quasi-Newton steps with a limited memory."""
     n, m = len(y), earlier.shape[1]
     positive = y.sum()
@@ -176,11 +217,13 @@ def fit(row: np.ndarray, word: np.ndarray, earlier: np.ndarray, y: np.ndarray, n
         return Linear(np.zeros(n_words), np.zeros(m), np.inf if positive else -np.inf)
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = _log_odds(Linear(x[:n_words], x[n_words:-1], x[-1]), row, word, earlier)
+        z = _log_odds(Linear(x[:n_words], x[n_words:-1], x[-1]), used, earlier)
         p = 1 / (1 + np.exp(-z))
         slope = p - y
         loss = np.logaddexp(0, z).sum() - z @ y + PENALTY / 2 * (x[:-1] @ x[:-1])
-        gradient = np.concatenate([np.bincount(word, slope[row], n_words), earlier.T @ slope, [slope.sum()]])
+        gradient = np.concatenate([np.zeros(n_words), earlier.T @ slope, [slope.sum()]])
+        for own, row, word in used.blocks():
+            gradient[:n_words] += np.bincount(word, slope[own][row], n_words)
         gradient[:-1] += PENALTY * x[:-1]
         return loss, gradient
 
@@ -189,17 +232,17 @@ def fit(row: np.ndarray, word: np.ndarray, earlier: np.ndarray, y: np.ndarray, n
     loss, gradient = value(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(200):
-        q, used = gradient.copy(), []
+        q, taken = gradient.copy(), []
         for s, d in reversed(steps):
             a = (s @ q) / (s @ d)
-            used.append(a)
+            taken.append(a)
             q -= a * d
         if steps:
             s, d = steps[-1]
             q *= (s @ d) / (d @ d)
         else:
             q /= max(1.0, np.abs(q).max())
-        for (s, d), a in zip(steps, reversed(used)):
+        for (s, d), a in zip(steps, reversed(taken)):
             q += (a - (d @ q) / (s @ d)) * s
         size, slope = 1.0, gradient @ q
         while True:
@@ -242,25 +285,23 @@ def train(
 
     # Copies of a text are in one fold. The rows of the sample, a few numbers each, come to the driver.
     placed = sample.select("own", "text", F.xxhash64("text", "own").alias("place"))
-    used = placed.mapInArrow(rows, "own array<int>, words array<int>, place bigint").toArrow().combine_chunks()
-    used = used.sort_by("place")
-    y = used["own"].combine_chunks().flatten().to_numpy().reshape(-1, len(categories)).astype(np.float64)
-    words = used["words"].combine_chunks()
-    word = words.flatten().to_numpy()
-    row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
-    fold = used["place"].to_numpy() % FOLDS
-
-    models, earlier = [], np.zeros((len(words), 0))
+    found = placed.mapInArrow(rows, "own array<int>, words array<int>, place bigint").toArrow()
+    found = found.sort_by("place").combine_chunks()
+    y = found["own"].combine_chunks().flatten().to_numpy().reshape(-1, len(categories)).astype(np.float64)
+    words = found["words"].combine_chunks()
+    used = Incidence(words.offsets.to_numpy().astype(np.int64), words.flatten().to_numpy())
+    fold = found["place"].to_numpy() % FOLDS
+    del found, words
+
+    models, earlier = [], np.zeros((len(y), 0))
     for c in range(len(categories)):
-        own = told[c][word]
-        unseen = np.zeros(len(words))
+        unseen = np.zeros(len(y))
         for k in range(FOLDS):
             mine = fold == k
-            number = np.cumsum(~mine) - 1
-            into = ~mine[row] & own
-            part = fit(number[row[into]], word[into], earlier[~mine], y[~mine, c], len(hashes))
-            unseen[mine] = _log_odds(part, row, word, earlier)[mine]
-        models.append(fit(row[own], word[own], earlier, y[:, c], len(hashes)))
+            model = fit_documents(used.part(~mine, told[c]), earlier[~mine], y[~mine, c], len(hashes))
+            unseen[mine] = _log_odds(model, used, earlier)[mine]
+        everyone = np.ones(len(y), bool)
+        models.append(fit_documents(used.part(everyone, told[c]), earlier, y[:, c], len(hashes)))
         earlier = np.column_stack([earlier, np.clip(unseen, -FARTHEST, FARTHEST)])
     return Chain(hashes, models)
 
@@ -268,11 +309,11 @@ def train(
 def probabilities(texts: pa.Array, chain: Chain) -> np.ndarray:
     """Probability of every category for every text."""
     lists = _used(texts, chain.hashes)
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    word = np.concatenate([np.empty(0, np.int64), *lists])
+    bounds = np.cumsum([0, *[len(x) for x in lists]])
+    used = Incidence(bounds, np.concatenate([np.empty(0, np.int64), *lists]))
     earlier, out = np.zeros((len(lists), 0)), []
     for model in chain.models:
-        z = np.clip(_log_odds(model, row, word, earlier), -700, 700)
+        z = np.clip(_log_odds(model, used, earlier), -700, 700)
         out.append(1 / (1 + np.exp(-z)))
         earlier = np.column_stack([earlier, np.clip(z, -FARTHEST, FARTHEST)])
     return np.column_stack(out)
