@@ -36,7 +36,7 @@ from webtally.llm.ordering import in_order, places_within
 from webtally.llm.workspace import ship_package, slices, stored
 
 BLOCK = 4096
-HEAVY = 1000
+HEAVY = 100
 SHARE = 100_000
 QUEUE = 100_000
 # Characters of role and text by which turns of equal number are dealt to ranges.
