@@ -45,9 +45,9 @@ CAP = 2
 TOLERANCE = 0.001
 ROUNDS = 8
 # Rows among which a rank is cut in one task, and how finely a bucket of ranks is divided, at most so often.
-LEAF = 20_000
-FINER = 4096
-LEVELS = 4
+LEAF = 1000
+FINER = 256
+LEVELS = 6
 # Tables with one row per source are broadcast up to so many of them, and else joined on source and salt.
 MAX_BROADCAST_SOURCES = 100_000
 SALTS = 64
