@@ -124,3 +124,19 @@ def test_ranks_and_library_agree(vocabularies):
     assert [x.ids for x in by_library] == [encoders.ranked.encode_ordinary(t) for t in texts]
     written = json.loads(vocabularies.a)
     assert ta._ranked(written | {"normalizer": {"type": "NFC"}}) is None
+
+
+def test_parts_give_what_whole_texts_give(vocabularies):
+    """Blanks in runs, at both ends and beside other white space, marks of B in the text, and parts that are long or forgotten."""
+    rand = random.Random(7)
+    letters = "ab  \n\t▁ 　\x1ćé漢字🙂‍'s1 .,\x00\x85Z<s></s>"
+    texts = ["".join(rand.choice(letters) for _ in range(rand.randint(0, 60))) for _ in range(3000)]
+    texts += ["a" * n + " " + "b " * k for n in (1, 39, 40, 41, 500) for k in (0, 1, 3)]
+    encoders = ta.Encoders(vocabularies)
+    assert encoders.parted
+    aligner = ta.Aligner(encoders, known_parts=500)
+    by_parts = [x for i in range(0, len(texts), 100) for x in aligner.align(texts[i : i + 100])]
+    encoders.parted = False
+    for text, part, whole in zip(texts, by_parts, ta.Aligner(encoders).align(texts), strict=True):
+        assert part[:4] == whole[:4], text
+        assert part.pairs.tolist() == whole.pairs.tolist() and part.times.tolist() == whole.times.tolist(), text

@@ -8,6 +8,10 @@ groups of the same bytes. Every A token of a group is linked with every B token
 per group from the distinct ids and how often each occurs, so a long group without a common
 end costs its distinct pairs, not the product of its lengths.
 
+Where neither tokenizer has a token that goes on past a blank after another character, both end
+a token before each such blank: a text is then worked out in the parts between those blanks, and a task keeps what it
+worked out for up to ``KNOWN_PARTS`` short parts, since words come again. Other texts are worked out as a whole.
+
 How many documents hold an id pair linked is counted over the corpus. The ``MOST_COMMON`` commonest
 pairs are sent to all tasks, which look them up without moving anything; the pairs of a document
 that are not among them are matched by a shuffle on the pair, none of which is in many documents.
@@ -23,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 from typing import NamedTuple
@@ -48,6 +53,13 @@ BATCH_BYTES = 1 << 20
 COUNTED = 1 << 20
 # Groups of more links than this are worked out from their distinct ids.
 SMALL_GROUP = 64
+# Parts that a task keeps, none longer than PART_CHARS.
+KNOWN_PARTS = 200_000
+PART_CHARS = 40
+# Parts that are worked out together when they are new.
+LEARNED = 1000
+# A blank after a character that is no white space, but for one that ends the text.
+BREAK = re.compile(r" (?<=\S )(?=.)", re.DOTALL)
 
 
 class Vocabularies(NamedTuple):
@@ -116,6 +128,9 @@ class Encoders:
             for i in range(self.b.get_piece_size())
         ]
         self.sizes_a, self.sizes_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        # whether no token of B goes on past a blank after another character; A's split sees to that by itself
+        pieces = map(self.b.id_to_piece, range(self.b.get_piece_size()))
+        self.parted = self.ranked is not None and not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
         self.names_a, self.names_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
@@ -141,12 +156,26 @@ def cuts(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) ->
     return [0, *map(ends_a.__getitem__, common)], [0, *map(ends_b.__getitem__, common)]
 
 
+def group_texts(a: list[str], b: list[str], at_a: list[int], at_b: list[int]) -> list[str]:
+    """Each group of both lists of ids as text."""
+    spans = zip(at_a, at_a[1:], at_b, at_b[1:])
+    return [a[i] + "|" + b[k] if j - i == 1 == m - k else ",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in spans]
+
+
 def written_groups(a: list[str], b: list[str], at_a: list[int], at_b: list[int]) -> str:
     """The groups of both lists of ids as text."""
-    spans = zip(at_a, at_a[1:], at_b, at_b[1:])
-    return ";".join(
-        [a[i] + "|" + b[k] if j - i == 1 == m - k else ",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in spans]
-    )
+    return ";".join(group_texts(a, b, at_a, at_b))
+
+
+def listed_links(a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All links in the order of their groups, as one number each, and where each group's begin, for groups that are short."""
+    from_a, from_b = np.array(at_a), np.array(at_b)
+    wide = np.diff(from_b)
+    starts = np.concatenate([[0], np.cumsum(np.diff(from_a) * wide)])
+    group = np.repeat(np.arange(len(wide)), np.diff(starts))
+    place_a, place_b = np.divmod(np.arange(starts[-1]) - starts[group], wide[group])
+    ids_a, ids_b = np.array(a, np.int64) << 32, np.array(b, np.int64)
+    return ids_a[from_a[group] + place_a] | ids_b[from_b[group] + place_b], starts
 
 
 def links(a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,9 +204,108 @@ def links(a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> tuple
     return found, times
 
 
-def _encoders(known: list[Encoders], vocabularies) -> Encoders:
+class Aligned(NamedTuple):
+    """What a text, or a part of one, comes to: its groups as text and its distinct linked pairs, ascending."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    written: str
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+NOTHING = Aligned(0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+class Aligner:
+    """Aligns texts, with the short parts that it has met lately at hand."""
+
+    def __init__(self, encoders: Encoders, known_parts: int = KNOWN_PARTS) -> None:
+        self.encoders, self.known_parts = encoders, known_parts
+        # part -> (its links as 64-bit numbers, groups as text, n_a, n_b, n_groups); None if its tokens do not spell it
+        self.known: dict[str, tuple[bytes, str, int, int, int] | None] = {}
+
+    def _whole(self, texts: list[str]) -> Iterator[Aligned]:
+        e = self.encoders
+        for a, b in e.encode(texts):
+            if a:
+                at_a, at_b = cuts(a, b, e.sizes_a, e.sizes_b)
+                written = written_groups([e.names_a[i] for i in a], [e.names_b[i] for i in b], at_a, at_b)
+                yield Aligned(len(a), len(b), len(at_a) - 1, written, *links(a, b, at_a, at_b))
+            else:
+                yield NOTHING
+
+    def _learn(self, parts: set[str]) -> None:
+        if len(self.known) + len(parts) > self.known_parts:
+            self.known.clear()
+        new = [p for p in parts if p not in self.known]
+        for start in range(0, len(new), LEARNED):
+            some = new[start : start + LEARNED]
+            if not self._learn_together(some):
+                for part in some:
+                    if not self._learn_together([part]):
+                        self.known[part] = None
+
+    def _learn_together(self, parts: list[str]) -> bool:
+        """Work out parts as one text, unless its tokens do not spell it or do not end with each part."""
+        e = self.encoders
+        ((a, b),) = e.encode([" ".join(parts)])
+        if not a:
+            return False
+        at_a, at_b = cuts(a, b, e.sizes_a, e.sizes_b)
+        ends = np.cumsum([e.sizes_a[i] for i in a])[np.array(at_a[1:]) - 1]
+        part_ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        last = np.searchsorted(ends, part_ends)
+        if not np.array_equal(ends[last], part_ends):
+            return False
+        written = group_texts([e.names_a[i] for i in a], [e.names_b[i] for i in b], at_a, at_b)
+        codes, starts = listed_links(a, b, at_a, at_b)
+        coded, starts, first = codes.tobytes(), (starts * 8).tolist(), 0
+        for part, to in zip(parts, (last + 1).tolist()):
+            sizes = (at_a[to] - at_a[first], at_b[to] - at_b[first], to - first)
+            self.known[part] = (coded[starts[first] : starts[to]], ";".join(written[first:to]), *sizes)
+            first = to
+        return True
+
+    def _joined(self, parts: list[str]) -> Aligned | None:
+        """A text from its parts, or None if the tokens of a part do not spell it."""
+        found = list(map(self.known.get, parts))
+        longer: list[Aligned] = []
+        if None in found:
+            others = [i for i, (p, f) in enumerate(zip(parts, found)) if f is None]
+            if any(parts[i] in self.known for i in others):
+                return None
+            longer = list(self._whole([parts[i] for i in others]))
+            if any(not x.n_a for x in longer):
+                return None
+            for i, x in zip(others, longer):
+                found[i] = (b"", x.written, x.n_a, x.n_b, x.n_groups)
+        coded, written, n_a, n_b, n_groups = zip(*found)
+        pairs, times = np.unique(np.frombuffer(b"".join(coded), np.int64), return_counts=True)
+        if longer:
+            weights = np.concatenate([times, *[x.times for x in longer]])
+            pairs, at = np.unique(np.concatenate([pairs, *[x.pairs for x in longer]]), return_inverse=True)
+            times = np.zeros(len(pairs), np.int64)
+            np.add.at(times, at, weights)
+        return Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(written), pairs, times)
+
+    def align(self, texts: list[str]) -> Iterator[Aligned]:
+        """Every text; empty ones, and those that their tokens do not spell, come to nothing."""
+        if not self.encoders.parted:
+            yield from self._whole(texts)
+            return
+        parted = [BREAK.split(t) if t and SPACE_MARK not in t else [] for t in texts]
+        short = {p for parts in parted for p in parts if len(p) <= PART_CHARS and not p[-1].isspace()}
+        self._learn(short)
+        for text, parts in zip(texts, parted):
+            aligned = self._joined(parts) if parts else None
+            yield aligned if aligned is not None else next(self._whole([text]))
+
+
+def _aligner(known: list[Aligner], vocabularies) -> Aligner:
     if not known:
-        known.append(Encoders(vocabularies.value))
+        known.append(Aligner(Encoders(vocabularies.value)))
     return known[0]
 
 
@@ -193,19 +321,14 @@ def linked_documents(docs: DataFrame, vocabularies: Vocabularies, key: str = "do
     texts = keyed_texts(docs, key, text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list[Encoders] = []
+        known: list[Aligner] = []
         number = TaskContext.get().partitionId() << 33
         for part in slices(batches, BATCH_BYTES):
-            encoders = _encoders(known, shared)
             counts, digests, ids = [], [], []
-            for a, b in encoders.encode([t or "" for t in part["text"].to_pylist()]):
-                at_a, at_b = cuts(a, b, encoders.sizes_a, encoders.sizes_b)
-                names = (list(map(n.__getitem__, x)) for n, x in ((encoders.names_a, a), (encoders.names_b, b)))
-                written = written_groups(*names, at_a, at_b)
-                digests.append(hashlib.sha256(written.encode()).hexdigest() if a else "")
-                found, times = links(a, b, at_a, at_b)
-                counts.append((len(a), len(b), len(at_a) - 1, int(times.sum())))
-                ids.append((found >> 32, found & 0xFFFFFFFF, times))
+            for x in _aligner(known, shared).align([t or "" for t in part["text"].to_pylist()]):
+                digests.append(hashlib.sha256(x.written.encode()).hexdigest() if x.n_a else "")
+                counts.append((x.n_a, x.n_b, x.n_groups, int(x.times.sum())))
+                ids.append((x.pairs >> 32, x.pairs & 0xFFFFFFFF, x.times))
             table = {"row": pa.array(range(number, number + part.num_rows), pa.int64()), "doc_id": part["doc_id"]}
             number += part.num_rows
             for i, name in enumerate(("n_a", "n_b", "n_groups", "n_links")):
