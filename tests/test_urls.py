@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,7 +56,9 @@ def test_large_rule_table_is_not_broadcast(spark, hosts, rules):
     try:
         salted = ws.with_website(hosts, rules, max_broadcast_rules=0)
         plan = salted._jdf.queryExecution().executedPlan().toString()
-        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+        # the heavy candidates are broadcast, the rules are not
+        assert re.search(r"SortMergeJoin[^\n]*_rule\d+_rule#", plan)
+        assert not re.search(r"BroadcastHashJoin[^\n]*_rule\d+_rule#", plan)
         assert {r.host: r.website for r in salted.collect()} == {**WEBSITES, None: None}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -74,6 +78,25 @@ def test_pages_of_one_host_stay_spread_without_broadcast(spark, rules):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_only_rules_of_heavy_candidates_are_copied(spark):
+    pages = spark.range(9000).select(
+        F.when(F.col("id") < 3000, F.lit("a.hot.uk")).when(F.col("id") < 8000, F.concat(F.lit("h"), "id", F.lit(".s"), "id")).alias("host")
+    )
+    heavy = ws.heavy_candidates(pages, "host", 2, 30)
+    assert {tuple(r) for r in heavy.collect()} == {("uk", 10), ("hot.uk", 10)}
+    rules = spark.range(20000).select(F.concat(F.lit("s"), "id").alias("rule")).union(spark.createDataFrame([("uk",)], "rule string"))
+    copied = ws.copied_rules(rules, heavy).groupBy("rule").count().where("count > 1").collect()
+    assert [tuple(r) for r in copied] == [("uk", 10)]
+
+
+def test_without_broadcast_the_websites_are_the_same(spark, rules):
+    hosts = [f"{a}.{b}" for a in ("www.x", "y", "") for b in ("co.uk", "ck", "kawasaki.jp", "city.kawasaki.jp", "com", "none")]
+    rows = [(i, hosts[i % 7 if i % 3 else i % len(hosts)] if i % 5 else None) for i in range(600)]
+    table = spark.createDataFrame(rows, "id long, host string")
+    got = ws.with_website(table, rules, max_broadcast_rules=0).orderBy("id").collect()
+    assert got == ws.with_website(table, rules).orderBy("id").collect()
+
+
 def test_repeated_rules_do_not_repeat_rows(spark, hosts):
     doubled = suffix_rules(spark, RULES + RULES)
     assert ws.with_website(hosts, doubled).count() == hosts.count()

@@ -27,6 +27,28 @@ def _count_labels(name: Column) -> Column:
     return F.array_size(F.split(name, r"\."))
 
 
+def heavy_candidates(df: DataFrame, host: str, depth: int, parts: int) -> DataFrame:
+    """``candidate, copies``: suffixes of up to ``depth`` labels that more than one in ``parts`` rows of ``df`` end in.
+
+    ``copies`` is how many of the ``parts`` shares of the rows each has. Every depth has fewer than
+    ``parts`` such suffixes, and fewer than twice as many copies of all of them.
+    """
+    hosts = df.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"))
+    labels = F.split("host", r"\.")
+    depths = F.sequence(F.lit(1), F.least(F.array_size(labels), F.lit(depth)))
+    suffixes = F.transform(depths, lambda d: F.array_join(F.slice(labels, -d, d), "."))
+    counted = hosts.select(F.explode(suffixes).alias("candidate"), "n").groupBy("candidate").agg(F.sum("n").alias("n"))
+    shares = F.col("n") * parts / df.agg(F.count("*")).scalar()
+    return counted.where(shares > 1).select("candidate", F.ceil(shares).cast("int").alias("copies"))
+
+
+def copied_rules(rules: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Each rule with a ``salt``: 0, or for one under a heavy candidate as many as that has copies."""
+    marked = rules.join(F.broadcast(heavy), F.col("rule") == F.col("candidate"), "left")
+    copies = F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)
+    return marked.select(*rules.columns, F.explode(copies).alias("salt"))
+
+
 def with_website(
     df: DataFrame,
     rules: DataFrame,
@@ -42,12 +64,13 @@ def with_website(
     The candidate suffixes of a host are its last 1, 2, ... labels. Each depth is
     one equality join with the rules of that many labels, so rows are neither
     multiplied nor regrouped, and with broadcast rules nothing is shuffled. A rule
-    table above the size bounds is joined by shuffle instead, on the candidate and
-    a salt taken from ``salt_by`` (all columns by default). There are as many salts as
-    shuffle partitions, so that the rows under a common suffix, or without a candidate,
-    spread over all tasks.
+    table above the size bounds is joined by shuffle instead, on the candidate and a salt
+    taken from ``salt_by`` (all columns by default). Rows of a candidate that would fill more than a
+    shuffle partition have as many salts as they would fill, and the rule of that candidate as many
+    copies; other rules are in one place. Rows without a candidate spread over all tasks.
+    The heavy candidates are counted first, in a pass over the hosts; they are fewer than the
+    partitions times the depth of the rules, so they are broadcast.
     """
-    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = rules.agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(F.octet_length("rule")), F.lit(0)).alias("n_bytes"),
@@ -57,23 +80,31 @@ def with_website(
     small = size["n"] <= max_broadcast_rules and size["n_bytes"] <= max_broadcast_bytes
 
     n_labels = _count_labels(F.col(host))
-    salted = df if small else df.withColumn(
-        "_salt", F.pmod(F.xxhash64(*(salt_by or [f"`{c}`" for c in df.columns])), F.lit(salts)).cast("int")
-    )
-    joined = salted
+    joined = df
+    if not small:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        heavy = df.sparkSession.createDataFrame(heavy_candidates(df, host, size["depth"], parts).toArrow())
+        spread = F.xxhash64(*(salt_by or [f"`{c}`" for c in df.columns]))
+        joined = df.withColumn("_spread", spread)
     lengths, exceptions = [F.lit(0), F.lit(0)], []
     for depth in range(1, size["depth"] + 1):
         prefix = f"_rule{depth}_"
-        side = table.where(_count_labels(F.col("rule")) == depth).select(
-            *[F.col(c).alias(prefix + c) for c in ("rule", "std", "wild", "exc")]
-        )
+        side = table.where(_count_labels(F.col("rule")) == depth)
         candidate = F.when(n_labels >= depth, F.substring_index(F.col(host), ".", -depth))
-        condition = candidate == F.col(prefix + "rule")
         if small:
-            side = F.broadcast(side)
+            side = F.broadcast(side.select(*[F.col(c).alias(prefix + c) for c in side.columns]))
+            condition = candidate == F.col(prefix + "rule")
         else:
-            side = side.withColumn(prefix + "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            condition &= F.col("_salt") == F.col(prefix + "salt")
+            own = heavy.where(_count_labels(F.col("candidate")) == depth)
+            side = copied_rules(side, own)
+            side = side.select(*[F.col(c).alias(prefix + c) for c in side.columns])
+            own = own.select(F.col("candidate").alias(prefix + "heavy"), F.col("copies").alias(prefix + "copies"))
+            joined = joined.join(F.broadcast(own), candidate == F.col(prefix + "heavy"), "left")
+            salts = F.when(candidate.isNull(), parts).otherwise(F.coalesce(prefix + "copies", F.lit(1)))
+            joined = joined.withColumn(prefix + "own", F.pmod("_spread", salts).cast("int"))
+            # no rule is empty, so a row without a candidate meets none
+            condition = F.coalesce(candidate, F.lit("")) == F.col(prefix + "rule")
+            condition &= F.col(prefix + "own") == F.col(prefix + "salt")
         joined = joined.join(side, condition, "left")
         lengths.append(F.when(F.col(prefix + "std"), depth))
         lengths.append(F.when(F.col(prefix + "wild") & (n_labels > depth), depth + 1))
