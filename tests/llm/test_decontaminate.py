@@ -172,3 +172,49 @@ def test_runs_without_a_document_displace_no_seed():
     n_docs[np.searchsorted(distinct, passages.gram[passages.at % 5 == 2])] = 1000
     seeds = decontaminate.with_rare_seeds(passages, distinct, n_docs)
     assert sorted(seeds.at.tolist()) == list(range(2, 58, 5))
+
+
+HAN = "[\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0eff\U00020000-\U0003ffff]"
+
+
+def characters_or_words(text):
+    return [w for run in words(text) for w in re.findall(f"{HAN}|(?:(?!{HAN}).)+", run, re.S)]
+
+
+def test_short_items_are_found_whole(spark):
+    rng = random.Random(6)
+    vocabulary = ["was", "ist", "Die", "Hauptstadt", "von", "\u6771", "\u4eac", "x\u6771y", "\u306f\u3044", "\U00020000"]
+    items = [(i, rng.choice([" ", ", "]).join(rng.choices(vocabulary, k=n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7] * 4)]
+    items += [(100, "--"), (101, ""), (102, None), (103, items[1][1]), (103, items[2][1])]
+    docs = [(d, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 60)))) for d in range(150)]
+    docs += [(200, None), (201, items[6][1].upper() + "!"), (201, items[6][1])]
+    expected = {}
+    for d, text in docs:
+        w = characters_or_words(text)
+        for i, item in items:
+            own = characters_or_words(item)
+            places = [k for k in range(len(w) - len(own) + 1) if own and w[k : k + len(own)] == own]
+            if places and len(own) < 8:
+                expected[d, i] = min(expected.get((d, i), (9**9, 0)), (places[0], places[0] + len(own) - 1))
+    df, bm = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, text string")
+    rows = contaminated(df, bm, short=True).where("score = 1").collect()
+    found = {(r["doc_id"], r["item_id"]): (r["first_word"], r["last_word"]) for r in rows}
+    long = {i for i, t in items if len(characters_or_words(t)) >= 8}
+    assert len(expected) > 100 and {k: v for k, v in found.items() if k[1] not in long} == expected
+    kept = {r["doc_id"] for r in without_test_items(df, bm, short=True).collect()}
+    assert kept == {d for d, _ in docs} - {r["doc_id"] for r in contaminated(df, bm, short=True).collect()}
+    # in blocks, of which some have short items only
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(df, bm, short=True, block_bytes=40).collect()} >= expected.keys()
+
+
+def test_items_without_blanks(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(n))
+    item, short = text(50), text(5)
+    copy = "".join(c if k % 9 else text(1) for k, c in enumerate(item))
+    docs = [(1, text(400) + item + text(300)), (2, text(90) + copy), (3, text(700)), (4, text(40) + short + text(40)), (5, short[:4])]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    bm = spark.createDataFrame([(1, item), (2, short)], "item_id int, text string")
+    found = {(r["doc_id"], r["item_id"]): r["first_word"] for r in contaminated(df, bm, short=True).collect()}
+    assert found.keys() == {(1, 1), (2, 1), (4, 2)} and found[1, 1] == 400 and found[4, 2] == 40
+    assert {r["doc_id"] for r in without_test_items(df, bm, short=True).collect()} == {3, 5}

@@ -11,11 +11,16 @@ share of the score of a whole copy, decides.
 The seeds are broadcast. Their size is measured: a benchmark beyond ``BLOCK_BYTES`` of text
 is taken in blocks of items, each against all documents.
 
-Words are runs of letters, digits and characters beyond ASCII, with A-Z in lower case.
+Words are runs of letters, digits and characters beyond ASCII, with A-Z in lower case. In scripts
+that are written without blanks, every character is a word.
 Long items are aligned in passages of about ``PASSAGE`` words, of which the best counts.
 
-Defined results: NULL and empty texts hold nothing. Items of fewer than ``MIN_WORDS`` words
-cannot be told from common phrases and are not looked for; NULL items neither. Rows that
+Items of fewer than ``MIN_WORDS`` words are too short for seeds and an alignment. With ``short``,
+as in the query and the pipeline, a document holds one where all its words stand in a row as they
+are; a word of its own is then an item as well. Without, they are not looked for.
+
+Defined results: NULL and empty texts hold nothing. NULL items and items without a word are not
+looked for. Rows that
 repeat a doc_id, and rows without one, are each looked at on their own; items that repeat
 an item_id count together. Equal scores go to the passage that comes first. Texts of any
 length are searched whole. Empty tables give no rows. Other columns are not read.
@@ -48,28 +53,40 @@ CELLS = 1 << 20
 
 
 class Passages(NamedTuple):
-    """Passages of items with their words and seeds. ``gram`` is sorted; entry i is in ``passage[i]`` at word ``at[i]``."""
+    """Passages of items with their words and seeds. ``gram`` is sorted; entry i is in ``passage[i]`` at word ``at[i]``.
+
+    ``short`` has, by number of words, the sorted hashes of items that are looked for as a whole, and their passages.
+    """
 
     item: list
     words: list[np.ndarray]
     gram: np.ndarray
     passage: np.ndarray
     at: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def __bool__(self) -> bool:
+        return len(self.gram) > 0 or len(self.short) > 0
 
 
-def passages_of(items: list[tuple]) -> Passages:
+def passages_of(items: list[tuple], short: bool = False) -> Passages:
     """Cut ``(item_id, text)`` into passages; every run of words is a seed until the corpus has been counted."""
     item, words = [], []
+    whole: dict[int, list[int]] = {}
     array = pa.array([text for _, text in items], pa.string())
-    for first, rows, hashes, row, _ in words_of(array, NOT_LETTERS):
+    for first, rows, hashes, row, _ in words_of(array, NOT_LETTERS, characters=True):
         bounds = per_row(row, rows)
         for i in range(rows):
             own = hashes[bounds[i] : bounds[i + 1]]
+            if short and 0 < len(own) < MIN_WORDS:
+                whole.setdefault(len(own), []).append(len(words))
+                item.append(items[first + i][0])
+                words.append(own)
             if len(own) >= MIN_WORDS:
                 parts = np.array_split(own, max(1, round(len(own) / PASSAGE)))
                 item += [items[first + i][0]] * len(parts)
                 words += parts
-    grams = [gram_hashes(w, SEED_WORDS) for w in words]
+    grams = [gram_hashes(w, SEED_WORDS) if len(w) >= MIN_WORDS else w[:0] for w in words]
     sizes = [len(g) for g in grams]
     return _sorted(
         item,
@@ -77,12 +94,18 @@ def passages_of(items: list[tuple]) -> Passages:
         np.concatenate([np.empty(0, np.uint64), *grams]),
         np.repeat(np.arange(len(grams)), sizes),
         np.concatenate([np.empty(0, np.int64), *map(np.arange, sizes)]),
+        {n: _by_hash(np.concatenate([gram_hashes(words[i], n) for i in own]), np.array(own)) for n, own in whole.items()},
     )
 
 
-def _sorted(item: list, words: list, gram: np.ndarray, passage: np.ndarray, at: np.ndarray) -> Passages:
+def _by_hash(hashes: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((passage, hashes))
+    return hashes[order], passage[order]
+
+
+def _sorted(item: list, words: list, gram: np.ndarray, passage: np.ndarray, at: np.ndarray, short: dict) -> Passages:
     order = np.lexsort((at, passage, gram))
-    return Passages(item, words, gram[order], passage[order], at[order])
+    return Passages(item, words, gram[order], passage[order], at[order], short)
 
 
 def with_rare_seeds(passages: Passages, distinct: np.ndarray, n_docs: np.ndarray) -> Passages:
@@ -102,15 +125,22 @@ def with_rare_seeds(passages: Passages, distinct: np.ndarray, n_docs: np.ndarray
         kept.append(own[np.unique(windows.argmin(axis=1) + np.arange(len(windows)))])
     some = np.unique(np.concatenate(kept)).astype(np.int64)
     some = some[count[some] > 0]
-    return _sorted(passages.item, passages.words, passages.gram[some], passages.passage[some], passages.at[some])
+    return passages._replace(gram=passages.gram[some], passage=passages.passage[some], at=passages.at[some])
 
 
-def _grams(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of words that lie in one text, and the number of their first word."""
-    if len(hashes) < SEED_WORDS:
+def _grams(hashes: np.ndarray, row: np.ndarray, n: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``n`` words that lie in one text, and the number of their first word."""
+    if len(hashes) < n:
         return hashes[:0], row[:0]
-    inside = np.flatnonzero(row[: 1 - SEED_WORDS] == row[SEED_WORDS - 1 :])
-    return gram_hashes(hashes, SEED_WORDS)[inside], inside
+    inside = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
+    return gram_hashes(hashes, n)[inside], inside
+
+
+def _entries(wanted: np.ndarray, grams: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every entry of the sorted ``wanted`` that is among the runs: its number, and the first word of the run."""
+    lo = np.searchsorted(wanted, grams, side="left")
+    n = np.searchsorted(wanted, grams, side="right") - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), np.repeat(first, n)
 
 
 def count_documents(texts: DataFrame, distinct: np.ndarray) -> np.ndarray:
@@ -121,7 +151,7 @@ def count_documents(texts: DataFrame, distinct: np.ndarray) -> np.ndarray:
         wanted = shared.value
         total = np.zeros(len(wanted), np.int64)
         for part in slices(batches):
-            for _, _, hashes, row, _ in words_of(part.column(1), NOT_LETTERS):
+            for _, _, hashes, row, _ in words_of(part.column(1), NOT_LETTERS, characters=True):
                 grams, first = _grams(hashes, row)
                 at = np.searchsorted(wanted, grams)
                 hit = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == grams)
@@ -173,15 +203,18 @@ class Found(NamedTuple):
 
 def search(texts: pa.Array, passages: Passages, threshold: float) -> Iterator[Found]:
     """Passages found in each text: the words from ``first`` to ``last`` align with them."""
-    if not len(passages.gram):
+    if not passages:
         return
-    for begin, rows, hashes, row, _ in words_of(texts, NOT_LETTERS):
+    for begin, rows, hashes, row, _ in words_of(texts, NOT_LETTERS, characters=True):
         bounds = per_row(row, rows)
-        grams, first = _grams(hashes, row)
-        lo = np.searchsorted(passages.gram, grams, side="left")
-        n = np.searchsorted(passages.gram, grams, side="right") - lo
-        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        word = np.repeat(first, n)
+        for n, (wanted, of) in passages.short.items():
+            entry, word = _entries(wanted, *_grams(hashes, row, n))
+            # the first place of each item in each text
+            places, at = np.unique(np.stack([row[word], of[entry]]), axis=1, return_index=True)
+            for r, passage, w in zip(*places.tolist(), word[at].tolist()):
+                offset = w - int(bounds[r])
+                yield Found(begin + r, passage, 1.0, offset, offset + n - 1)
+        entry, word = _entries(passages.gram, *_grams(hashes, row))
         # the word of the block where the passage would begin, had nothing been added or left out
         origin = word - passages.at[entry]
         key = np.stack([row[word], passages.passage[entry], origin])
@@ -231,7 +264,7 @@ def _aligned(
 
 
 def prepared(
-    docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str, block_bytes: int
+    docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str, block_bytes: int, short: bool
 ) -> Iterator[Passages]:
     """The benchmark's passages with their rare seeds, block by block."""
     items = benchmark.select(benchmark[f"`{item_key}`"].alias("item_id"), benchmark[f"`{item_text}`"].alias("text"))
@@ -243,10 +276,12 @@ def prepared(
     for i in range(blocks):
         own = items.where(block == i).select("item_id", "text").toArrow()  # about block_bytes, as measured
         rows = sorted(zip(own["item_id"].to_pylist(), own["text"].to_pylist()), key=str)
-        passages = passages_of(rows)
+        passages = passages_of(rows, short)
         if len(passages.gram):
             distinct = np.unique(passages.gram)
-            yield with_rare_seeds(passages, distinct, count_documents(texts, distinct))
+            passages = with_rare_seeds(passages, distinct, count_documents(texts, distinct))
+        if passages:
+            yield passages
 
 
 def contaminated(
@@ -258,6 +293,7 @@ def contaminated(
     item_key: str = "item_id",
     item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    short: bool = False,
 ) -> DataFrame:
     """Documents and the items they hold: ``doc_id, item_id, score, first_word, last_word``.
 
@@ -270,7 +306,7 @@ def contaminated(
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, first_word bigint, last_word bigint"
     found = spark.createDataFrame([], schema)
     item_type = pa.schema([("x", benchmark.limit(0).select(f"`{item_key}`").toArrow().schema.field(0).type)]).field(0).type
-    for passages in prepared(docs, benchmark, text, item_key, item_text, block_bytes):
+    for passages in prepared(docs, benchmark, text, item_key, item_text, block_bytes, short):
         found = found.union(texts.mapInArrow(_pairs(spark.sparkContext.broadcast(passages), threshold, item_type), schema))
     return found
 
@@ -307,11 +343,12 @@ def without_test_items(
     item_key: str = "item_id",
     item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    short: bool = False,
 ) -> DataFrame:
     """The documents that hold no test item, with all their columns. Nothing is shuffled."""
     ship_package(docs.sparkSession)
     clean = docs
-    for passages in prepared(docs, benchmark, text, item_key, item_text, block_bytes):
+    for passages in prepared(docs, benchmark, text, item_key, item_text, block_bytes, short):
         holds = _holds(docs.sparkSession.sparkContext.broadcast(passages), threshold)
         clean = clean.where(~holds(clean[f"`{text}`"]))
     return clean

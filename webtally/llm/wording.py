@@ -41,11 +41,35 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _known_powers
 
 
+# First and last characters of scripts that are written without blanks between words
+# (Thai and Lao, Burmese, Khmer, kana, Han with its extensions).
+WITHOUT_BLANKS = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF),
+)
+
+
 _known_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 
+def _around_lone_characters(data: np.ndarray) -> np.ndarray:
+    """Marks the bytes before which a character of a script without blanks begins or has ended; one more than the bytes."""
+    marks = np.zeros(len(data) + 1, bool)
+    for size, lead in ((3, 0xE0), (4, 0xF0)):
+        first = np.flatnonzero((data >= lead) & (data < lead + (16 if size == 3 else 8)))
+        first = first[first + size <= len(data)]
+        code = data[first].astype(np.int64) - lead
+        for i in range(1, size):
+            code = code << 6 | data[first + i] & 0x3F
+        lone = np.zeros(len(first), bool)
+        for low, high in WITHOUT_BLANKS:
+            lone |= (code >= low) & (code <= high)
+        marks[first[lone]] = marks[first[lone] + size] = True
+    return marks
+
+
 def _block_words(
-    data: np.ndarray, starts_text: np.ndarray, blank: np.ndarray, stems: Sequence[int]
+    data: np.ndarray, starts_text: np.ndarray, blank: np.ndarray, stems: Sequence[int], characters: bool
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of the words in a block of bytes; ``starts_text`` marks the first byte of each text.
 
@@ -58,6 +82,10 @@ def _block_words(
     after = np.empty_like(inside)
     after[-1] = False
     np.logical_and(inside[1:], ~starts_text[1:], out=after[:-1])
+    if characters:
+        marks = _around_lone_characters(data)
+        before &= ~marks[:-1]
+        after &= ~marks[1:]
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
     up, down = _powers(len(data) + 1)
@@ -78,12 +106,13 @@ def _block_words(
 
 
 def words_of(
-    texts: pa.Array, blank: np.ndarray = BLANK, stems: Sequence[int] = ()
+    texts: pa.Array, blank: np.ndarray = BLANK, stems: Sequence[int] = (), characters: bool = False
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of a string column: first row, number of rows, and per word its hash, its row in
     the block and its first byte in the text. NULL counts as empty. Every text is whole in one block.
     ``blank`` says which of the 256 bytes are between words; with ``stems`` the beginnings of longer
-    words of so many bytes are given as well."""
+    words of so many bytes are given as well. With ``characters``, those of scripts that are written without
+    blanks are words of their own."""
     texts = texts.cast(pa.large_string())
     n = len(texts)
     if not n:
@@ -103,7 +132,7 @@ def words_of(
             block = data[offsets[at] : offsets[to]]
             marks = np.zeros(size + 1, bool)
             marks[bounds[:-1]] = True
-            hashes, start, _ = _block_words(block, marks[:-1], blank, stems)
+            hashes, start, _ = _block_words(block, marks[:-1], blank, stems, characters)
             rows = np.searchsorted(bounds, start, side="right") - 1
             yield at, to - at, hashes, rows, start - bounds[rows]
         at = to
