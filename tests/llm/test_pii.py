@@ -105,3 +105,97 @@ def test_query(spark, sf_dir):
         assert r["base_sha256"] == hashlib.sha256(",".join(written).encode()).hexdigest()
         assert set(written) <= set(r["spans"].split(",")) | {""}
         assert [r[f"n_{k}"] for k in PATTERNS] == [sum(s[0] == k for s in spans) for k in PATTERNS]
+
+
+def plain_context(text, start):
+    words = [w.lower() for w in pii.CONTEXT.findall(text[:start])[-2:]]
+    return " ".join(w if len(w) <= 48 else hashlib.sha256(w.encode()).hexdigest() for w in words) or None
+
+
+def test_contexts_reach_as_far_as_it_takes():
+    rng = random.Random(9)
+    bits = ["a", "bé", "word", " ", "\n", " " * 60, "x" * 47, "x" * 48, "y" * 300, "1", "_", ":", "22", "\u0301", "٣"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randrange(14)))
+        starts = sorted(rng.sample(range(len(text) + 1), min(len(text), rng.randrange(6))))
+        assert list(pii.contexts_of(text, starts)) == [plain_context(text, s) for s in starts], (text, starts)
+    long = [("w w" + " " * 10**6, 6), ("w" * 10**6 + " 1", 500_001), ("id no " + "12345 " * 200_000, 6), ("w" * 10**6 + " 12345" * 100_000, 6)]
+    for text, step in long:
+        starts = list(range(10**6 + 1 if text[:3] == "www" else 0, len(text), step))
+        assert len(list(pii.contexts_of(text, starts))) == len(starts)
+
+
+def plain_rounds(texts, min_known=5, accept=0.8):
+    """Spans that contexts add, by rounds in plain Python until nothing changes."""
+    places, edges, kinds = {}, {}, {}
+    for text in set(texts):
+        spans = [s for s in brute(text)]
+        places[text] = [(text[s:e].lower(), plain_context(text, s), s, e) for s, e in pii.identifiers(text, spans)]
+        for value, context, *_ in places[text]:
+            edges.setdefault(context, set()).add(value)
+        for kind, s, e in spans:
+            edges.setdefault(plain_context(text, s), set()).add(text[s:e].lower())
+            if plain_context(text, s):
+                kinds.setdefault(text[s:e].lower(), {})[kind] = 1.0
+    edges.pop(None, None)
+    unseen = {v for own in places.values() for v, c, *_ in own if c} - kinds.keys()
+    known, found = dict(kinds), None
+    while True:
+        accepted = {}
+        for context, values in edges.items():
+            for kind in pii.KINDS:
+                have = [known[v][kind] for v in values if kind in known.get(v, {})]
+                if len(have) >= min_known and sum(have) / len(values) >= accept:
+                    accepted[context, kind] = sum(have) / len(values)
+        doubt = {}
+        for own in places.values():
+            for value, context in {(v, c) for v, c, *_ in own}:
+                for kind in pii.KINDS:
+                    if value in unseen and (context, kind) in accepted:
+                        doubt.setdefault(value, {}).setdefault(kind, {})[context] = 1 - min(accepted[context, kind], 1 - 1e-9)
+        now = {}
+        for value, by_kind in doubt.items():
+            for kind, doubts in by_kind.items():
+                rest = 1.0
+                for x in doubts.values():
+                    rest *= x
+                if 1 - rest >= accept:
+                    now.setdefault(value, {})[kind] = 1 - rest
+        if now == found:
+            break
+        found, known = now, kinds | now
+    return {
+        text: sorted((k, s, e) for v, c, s, e in own for k in found.get(v, {}) if (c, k) in accepted) for text, own in places.items()
+    }
+
+
+def test_rounds_go_on_until_nothing_is_added(spark):
+    """A chain of contexts, each known by the identifiers found in the one before: six rounds."""
+    docs, name = [], [f"c{chr(97 + k)}" for k in range(7)]
+    docs += [f"mail to user{i}@mail.org" if i >= 8 else f"mail to level0x{i}" for i in range(40)]
+    for k in range(1, 7):  # 36 known of 52 are too few, without those of the level before
+        docs += [f"see {name[k]} user{i}@mail.org" for i in range(36)]
+        docs += [f"see {name[k]} level{j}x{i}" for j in (k - 1, k) for i in range(8)]
+    rng = random.Random(12)
+    for i in range(300):
+        value = rng.choice([f"u{rng.randrange(30)}@x.org", f"10.0.0.{rng.randrange(30)}", f"code{rng.randrange(40)}", f"nr{rng.randrange(400)}"])
+        docs.append(f"{rng.choice('pqrst')} {rng.choice(['is', 'of'])} {value} end")
+    docs += [docs[0]] * 300 + [docs[3]] * 150  # copies beyond what is dealt out together
+    expected = plain_rounds(docs)
+    assert all(own for t, own in expected.items() if "level" in t)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    rows = collected(find(df))
+    assert len(rows) == len(docs)
+    for i, spans in rows:
+        more = sorted((k.removesuffix("_context"), s, e) for k, s, e in spans if k.endswith("_context"))
+        assert more == expected[docs[i]], docs[i]
+
+
+def test_copies_of_a_text_are_dealt_out(spark):
+    rows = [(i if i % 3 else None, "digest" if i < 900 else f"d{i}") for i in range(1200)]
+    places = spark.createDataFrame(rows, "doc_id bigint, digest string")
+    more = spark.createDataFrame([("digest", 1), ("d1000", 2)], "digest string, more int")
+    dealt = pii._with_spans(places, more)
+    assert sorted((r["digest"], r["more"]) for r in dealt.collect() if r["more"]) == [("d1000", 2)] + [("digest", 1)] * 900
+    salts = [r["count"] for r in dealt.where("digest = 'digest'").groupBy("salt").count().collect()]
+    assert dealt.count() == 1200 and len(salts) >= 8

@@ -1,12 +1,12 @@
 """Personal data: fixed forms, and more of it found by its contexts.
 
 E-mail and IP addresses, card and phone numbers are found by their form. They are seeds: the
-two words (or marks) before them are their *contexts*. Spark scores the graph of contexts
+two words (or marks) before them, however far, are their *contexts*. Spark scores the graph of contexts
 and instances in rounds. A context's confidence for a kind is the share of its distinct
 instances that are known to be of the kind, if enough of them are; an unseen identifier's
 is that of its contexts taken together (one minus the product of their doubts). What
 reaches ``ACCEPT`` counts as known in the next round, so that it can speak for contexts of
-its own. In the end every occurrence of an accepted identifier in an accepted context is a
+its own. Rounds go on until no instance is added and confidences stand still to ``STILL``. In the end every occurrence of an accepted identifier in an accepted context is a
 span of the kind ``<kind>_context``. The spans of the fixed forms always stay.
 
 An identifier is a run of letters, digits and ``+._@-`` of five characters or more with a
@@ -20,6 +20,7 @@ get the spans of their text. An empty table gives no rows. Other columns are not
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -41,11 +42,15 @@ DIGITS = re.compile("[0-9]+")
 IDENTIFIER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+._@-")
 SHORTEST_IDENTIFIER = 5
 CONTEXT = re.compile(r"[^\W\d_]+|[^\w\s]")
-CONTEXT_CHARS = 48
+# Characters that are read at once before a value, and the longest word that stands in a context as it is, not as its digest.
+LOOK = 48
 
-ROUNDS = 3
 MIN_KNOWN = 5
 ACCEPT = 0.8
+# Share of the sum of all confidences by which it grows in the last round at most.
+STILL = 1e-6
+# Copies of a text that are given their spans together: a share of all documents, and so many in any case.
+COPIES, FEWEST_COPIES = 1e-4, 100
 
 Span = tuple[str, int, int]
 
@@ -129,10 +134,36 @@ def identifiers(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
-def context_of(text: str, start: int) -> str | None:
-    """The two words or marks before a place, in lower case; None at the start of a text."""
-    words = CONTEXT.findall(text[max(0, start - CONTEXT_CHARS) : start])[-2:]
-    return " ".join(words).lower() if words else None
+def contexts_of(text: str, starts: list[int]) -> Iterator[str | None]:
+    """The two words or marks before each of the ascending places, in lower case; None where there is none.
+
+    Reads backwards from every place, to the place before it at most, of which the words are
+    known: the time is linear in the text. A word of more than ``LOOK`` characters goes by its digest.
+    """
+    def word(start: int, end: int) -> tuple[int, int, str]:
+        own = text[start:end].lower()
+        return start, end, own if len(own) <= LOOK else hashlib.sha256(own.encode()).hexdigest()
+
+    known: list[tuple[int, int, str]] = []
+    done, context = 0, None
+    for start in starts:
+        if start > done:
+            width = LOOK
+            while True:
+                low = max(done, start - width)
+                found = [m.span() for m in CONTEXT.finditer(text, low, start)]
+                if low == done or len(found) > 2 or (len(found) == 2 and found[0][0] > low):
+                    break
+                width *= 4
+            if low == done and known and found and known[-1][1] == done == found[0][0]:
+                if CONTEXT.match(text, done - 1, done + 1).end() > done:  # one word on both sides of the place before
+                    found[0] = (known.pop()[0], found[0][1])
+            if low > done:
+                known = []
+            known = [*known, *[word(*span) for span in found[-2:]]][-2:]
+            done = start
+            context = " ".join(w for _, _, w in known) or None
+        yield context
 
 
 PLACE = "struct<kind:string,start:bigint,end:bigint,value:string,context:string>"
@@ -153,11 +184,10 @@ def _places(docs: DataFrame) -> DataFrame:
                 own = [(k, s, e) for k, s, e in spans]
                 if DIGITS.search(text):
                     own += [(None, s, e) for s, e in identifiers(text, spans)]
+                starts = sorted({s for _, s, _ in own})
+                context = dict(zip(starts, contexts_of(text, starts)))
                 found.append(
-                    [
-                        {"kind": k, "start": s, "end": e, "value": text[s:e].lower(), "context": context_of(text, s)}
-                        for k, s, e in own
-                    ]
+                    [{"kind": k, "start": s, "end": e, "value": text[s:e].lower(), "context": context[s]} for k, s, e in own]
                 )
             yield pa.record_batch([part.column(0), part.column(2), pa.array(found, _PLACE)], names=["doc_id", "digest", "places"])
 
@@ -165,12 +195,32 @@ def _places(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, f"doc_id {kind}, digest binary, places array<{PLACE}>")
 
 
+def _totals(known: DataFrame) -> tuple[int, float]:
+    return tuple(known.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first())
+
+
+def _with_spans(places: DataFrame, more: DataFrame) -> DataFrame:
+    """``places`` with ``more`` of their digest, NULL where it has none.
+
+    A text of many copies is dealt out by a salt, and only its row of ``more`` is copied. Such texts
+    are at most ``1 / COPIES``, so a table of them is broadcast.
+    """
+    limit = max(FEWEST_COPIES, int(places.count() * COPIES))
+    copies = places.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    salts = F.broadcast(stored(copies.select("digest", F.ceil(F.col("n") / limit).alias("salts")), "copied-texts"))
+    salt = F.pmod(F.xxhash64("doc_id") + F.spark_partition_id(), F.coalesce("salts", F.lit(1)))
+    copied = more.join(salts, "digest", "left")
+    copied = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return places.join(salts, "digest", "left").withColumn("salt", salt).join(copied, ["digest", "salt"], "left")
+
+
 def learn_contexts(
-    edges: DataFrame, rounds: int = ROUNDS, min_known: int = MIN_KNOWN, accept: float = ACCEPT
+    edges: DataFrame, min_known: int = MIN_KNOWN, accept: float = ACCEPT, still: float = STILL
 ) -> tuple[DataFrame, DataFrame]:
     """Accepted ``context, kind, confidence`` and ``value, kind`` from distinct ``context, value, kind``.
 
-    ``kind`` is NULL for identifiers of unknown kind.
+    ``kind`` is NULL for identifiers of unknown kind. No round takes away what an earlier one added:
+    confidences only grow, so the rounds come to an end.
     """
     seeds = edges.where("kind IS NOT NULL").select("value", "kind").distinct().withColumn("confidence", F.lit(1.0))
     links = stored(edges.select("context", "value").distinct(), "contexts")
@@ -179,8 +229,8 @@ def learn_contexts(
         edges.where("kind IS NULL").select("context", "value").distinct().join(seeds, "value", "left_anti"), "unseen"
     )
     seeds = stored(seeds, "seeds")
-    known = seeds
-    for _ in range(rounds):
+    known, before = seeds, _totals(seeds)
+    while True:
         scored = links.join(known, "value").groupBy("context", "kind").agg(
             F.sum("confidence").alias("sum"), F.count("*").alias("known")
         )
@@ -194,6 +244,10 @@ def learn_contexts(
         doubt = F.exp(F.sum(F.log(1.0 - F.least(F.col("confidence"), F.lit(1 - 1e-9)))))
         found = unseen.join(contexts, "context").groupBy("value", "kind").agg((1 - doubt).alias("confidence"))
         known = stored(seeds.unionByName(found.where(F.col("confidence") >= accept)), "known-instances")
+        after = _totals(known)
+        if after[0] == before[0] and after[1] - before[1] <= still * after[1]:
+            break
+        before = after
     return contexts, known.join(seeds.select("value"), "value", "left_anti").select("value", "kind")
 
 
@@ -222,7 +276,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", **learning) -
             p["start"].alias("start"), F.element_at(order, p["kind"]).alias("order"), p["end"].alias("end"), p["kind"].alias("kind")
         ),
     )
-    joined = places.select("doc_id", "digest", base.alias("base")).join(more, "digest", "left")
+    joined = _with_spans(places.select("doc_id", "digest", base.alias("base")), more)
     spans = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>"))))
     return joined.select(
         "doc_id",
