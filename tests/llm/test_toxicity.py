@@ -143,3 +143,26 @@ def test_part_of_an_incidence(monkeypatch):
     used = toxicity.Incidence(np.array([0, 2, 2, 5, 6]), np.array([0, 1, 0, 1, 2, 2], np.int32))
     part = used.part(np.array([True, True, False, True]), np.array([True, False, True]))
     assert part.bounds.tolist() == [0, 1, 1, 2] and part.word.tolist() == [0, 2]
+
+
+def test_texts_are_not_stored_and_only_labelled_ones_are_shuffled(spark, monkeypatch):
+    docs, labels = planted(random.Random(10), 4000, ["bad"])
+    docs += [(None, "bad"), (-(1 << 63), "bad"), ((1 << 63) - 1, "w1"), (8, "again"), (8, "again")]
+    labels = [(None, 1), (-(1 << 63), 1), ((1 << 63) - 1, 0), (9999, 1), (5, None)] + [x for x in labels if x[0] % 8 == 0]
+    d, l = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    wanted = sorted((i, t) for i, t in docs if i is not None and any(i == j and y is not None for j, y in labels))
+
+    kept, stored = [], toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df, name: (kept.append(df.columns), stored(df, name))[1])
+    score(d, l, ["toxic"], most=100).collect()
+    assert kept and not any("text" in columns for columns in kept)
+
+    labelled = toxicity._labelled(d, l, ["toxic"])
+    assert sorted((r["doc_id"], r["text"]) for r in labelled.collect()) == wanted
+    plan = labelled._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [doc_id" not in plan
+    assert len(wanted) <= toxicity._maybe_labelled(d, toxicity._labels(l, ["toxic"])).count() <= len(wanted) + 20
+
+    for kind in ("int", "string", "decimal(38,0)"):  # ids of other types are as equal as in a plain join
+        some = l.where("doc_id BETWEEN 0 AND 9999").select(l["doc_id"].cast(kind).alias("doc_id"), "toxic")
+        assert toxicity._labelled(d, some, ["toxic"]).count() == len(wanted) - 2

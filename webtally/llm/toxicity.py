@@ -12,6 +12,9 @@ the words that tell its category apart beyond chance (a log-likelihood ratio of
 word that fewer than ``SHOWN`` of them have brings in up to ``SHOWN`` more that have it.
 All documents are scored, on their whole texts.
 
+Texts are never stored, and shuffled once: those of labelled documents, to count their words.
+What else is looked for in texts is found where they are read.
+
 Words are runs of letters, digits and characters beyond ASCII, with A-Z in lower case. The
 beginnings of longer words count as words as well, so that a stem is known in forms that
 no labelled document has.
@@ -50,6 +53,9 @@ LIMIT = 0.5
 BLOCK_WORDS = 1 << 17
 # Log-odds fed to later models stay within these bounds.
 FARTHEST = 8.0
+# Bits that say which documents may have a label, and how many of them Spark's bitmaps hold each.
+FILTER_BITS = 1 << 26
+BITMAP_BITS = 1 << 15
 
 
 class Linear(NamedTuple):
@@ -78,42 +84,78 @@ def document_words(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(hashes[a:b])
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], most: int | None = None) -> DataFrame:
-    """``doc_id, text, own``: the labelled documents or a sample of them, ``own`` holding a 0 or 1 per category."""
+def _labels(labels: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """``doc_id, own``: the labelled ids, each once, ``own`` holding a 0 or 1 per category."""
     known = F.lit(True)
     for c in categories:
         known &= F.col(c).isNotNull()
     rows = labels.where(F.col("doc_id").isNotNull() & known)
     single = rows.groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories])
-    own = single.select("doc_id", F.array(*categories).alias("own"))
+    return single.select("doc_id", F.array(*categories).alias("own"))
+
+
+def _maybe_labelled(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """The documents without most of those that have no label; only a join with ``own`` tells for sure.
+
+    Kept are those whose id has its bit among the bits of the labelled ids. These are 8 MB for any number of labels.
+    """
+    if docs.schema["doc_id"].dataType != own.schema["doc_id"].dataType:
+        return docs  # equal ids of other types have other hashes
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FILTER_BITS))
+    bitmap, bit = F.floor(place / BITMAP_BITS), (place % BITMAP_BITS).cast("int")
+    placed = own.select(bitmap.alias("_bitmap"), bit.alias("_bit")).repartition("_bitmap")
+    bits = placed.groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.join(F.broadcast(bits), (F.col("_bitmap") == bitmap) & (F.getbit(byte, bit % 8) == 1), "left_semi")
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], most: int | None = None) -> DataFrame:
+    """``doc_id, text, own``: the labelled documents or a sample of them."""
+    own = _labels(labels, categories)
     if most is None:
-        return docs.join(own, "doc_id")
+        # Labels are few bytes and once per id: their partitions are hashed, and texts need no sort.
+        return _maybe_labelled(docs, own).join(own.hint("shuffle_hash"), "doc_id")
     chosen = own.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
     return docs.join(F.broadcast(chosen), "doc_id")  # ``most`` rows of a few bytes
 
 
-def _with_rare_words(sample: DataFrame, labelled: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """The sample, and up to ``SHOWN`` labelled documents for each word that it hardly has."""
-    kind = labelled.schema["doc_id"].dataType.simpleString()
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
+
+
+def _with_words(labelled: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """``doc_id, own, words, place``: numbers of the words in use instead of texts; copies of a text have one ``place``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words = pa.array([x.astype(np.int32) for x in _used(part["text"], hashes)], pa.list_(pa.int32()))
+            yield pa.record_batch([part["doc_id"], part["own"], words, part["place"]], names=["doc_id", "own", "words", "place"])
 
-    def words_in(df: DataFrame, wanted: np.ndarray) -> DataFrame:
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
-                used = _used(part["text"], wanted)
-                row = np.repeat(np.arange(len(used)), [len(x) for x in used])
-                word = np.concatenate([np.empty(0, np.int64), *used]).astype(np.int32)
-                yield pa.record_batch([part["doc_id"].take(pa.array(row)), pa.array(word)], names=["doc_id", "word"])
+    placed = labelled.select("doc_id", "own", "text", F.xxhash64("text", "own").alias("place"))
+    return placed.mapInArrow(rows, f"doc_id {_kind(labelled)}, own array<int>, words array<int>, place bigint")
 
-        return df.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, word int")
 
-    seen = words_in(sample, hashes).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SHOWN).toArrow()
+def _with_rare_words(sample: DataFrame, docs: DataFrame, own: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """The sample, and up to ``SHOWN`` labelled documents for each word that it hardly has."""
+    counts = sample.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    seen = counts.where(F.col("n") >= SHOWN).toArrow()
     rare = np.delete(hashes, seen["word"].to_numpy())
     if not len(rare):
         return sample
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            used = _used(part["text"], rare)
+            row = np.repeat(np.arange(len(used)), [len(x) for x in used])
+            word = np.concatenate([np.empty(0, np.int64), *used]).astype(np.int32)
+            yield pa.record_batch([part["doc_id"].take(pa.array(row)), pa.array(word)], names=["doc_id", "word"])
+
+    found = _maybe_labelled(docs, own).mapInArrow(rows, f"doc_id {_kind(docs)}, word int")
     first = Window.partitionBy("word").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    shown = words_in(labelled, rare).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SHOWN)
-    more = shown.select("doc_id").distinct().join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
-    return sample.union(labelled.join(more, "doc_id", "left_semi").select(*sample.columns))
+    shown = found.join(own, "doc_id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SHOWN)
+    more = shown.select("doc_id", "own").distinct().join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
+    more = stored(more, "rare-words")  # ``SHOWN`` rows of a few bytes for each word in use at most
+    return sample.union(_with_words(docs.join(F.broadcast(more), "doc_id"), hashes))
 
 
 def _select_words(labelled: DataFrame, n_categories: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -271,21 +313,10 @@ def train(
     """Fit the chain. ``labels`` has ``doc_id`` and a 0/1 column per category, in the order of the chain."""
     ship_package(docs.sparkSession)
     texts = keyed_texts(docs, key, text)
-    labelled = stored(_labelled(texts, labels, categories).select("doc_id", "own", "text"), "labelled")
-    hashes, told = _select_words(labelled, len(categories))
-    sample = stored(_labelled(texts, labels, categories, most).select("doc_id", "own", "text"), "sample")
-    sample = _with_rare_words(sample, labelled, hashes)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            yield pa.record_batch(
-                [part["own"], pa.array([x.astype(np.int32) for x in _used(part["text"], hashes)], pa.list_(pa.int32())), part["place"]],
-                names=["own", "words", "place"],
-            )
-
+    hashes, told = _select_words(_labelled(texts, labels, categories), len(categories))
+    sample = stored(_with_words(_labelled(texts, labels, categories, most), hashes), "sample")
     # Copies of a text are in one fold. The rows of the sample, a few numbers each, come to the driver.
-    placed = sample.select("own", "text", F.xxhash64("text", "own").alias("place"))
-    found = placed.mapInArrow(rows, "own array<int>, words array<int>, place bigint").toArrow()
+    found = _with_rare_words(sample, texts, _labels(labels, categories), hashes).select("own", "words", "place").toArrow()
     found = found.sort_by("place").combine_chunks()
     y = found["own"].combine_chunks().flatten().to_numpy().reshape(-1, len(categories)).astype(np.float64)
     words = found["words"].combine_chunks()
@@ -338,8 +369,7 @@ def score(
             )
 
     texts = keyed_texts(docs, key, text)
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(rows, f"doc_id {kind}, " + ", ".join(f"p_{c} double" for c in categories))
+    return texts.mapInArrow(rows, f"doc_id {_kind(texts)}, " + ", ".join(f"p_{c} double" for c in categories))
 
 
 def clean_documents(
