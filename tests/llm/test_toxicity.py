@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from webtally.llm import queries, toxicity
@@ -145,6 +147,39 @@ def test_part_of_an_incidence(monkeypatch):
     assert part.bounds.tolist() == [0, 1, 1, 2] and part.word.tolist() == [0, 2]
 
 
+def test_driver_holds_the_sample_in_small_numbers(spark, monkeypatch):
+    docs, labels = planted(random.Random(12), 600, ["bad"])
+    d, l = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    fit, held = toxicity.fit_documents, []
+    monkeypatch.setattr(toxicity, "fit_documents", lambda used, *a: (held.append(used.word), fit(used, *a))[1])
+    toxicity.train(d, l, ["toxic"])
+    assert held and any(len(x) for x in held) and all(x.dtype == np.int16 for x in held)
+    # more words than such numbers have need larger ones
+    assert toxicity._number(1 << 15) == (np.int16, "smallint") and toxicity._number((1 << 15) + 1) == (np.int32, "int")
+
+
+def test_words_of_the_sample_are_ordered_without_further_copies():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 60, 20_000)
+    lists = [rng.integers(0, 1 << 15, n).astype(np.int16) for n in sizes]
+    kind = pa.list_(pa.int16())
+    parts = [pa.array(lists[at : at + 500], kind) for at in range(0, len(lists), 500)]
+    # chunks that are slices, or empty, are right as well
+    chunked = pa.chunked_array([parts[0].slice(0, 0), *parts[:-1], parts[-1].slice(0, 200), parts[-1].slice(200)], kind)
+    order = np.argsort(rng.integers(0, 1000, len(lists)), kind="stable")
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    used = toxicity._ordered(chunked, order)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pa.total_allocated_bytes() == arrow
+    assert most < used.word.nbytes + 8 * 8 * len(lists)
+    assert used.word.dtype == np.int16 and np.diff(used.bounds).tolist() == sizes[order].tolist()
+    assert (used.word == np.concatenate([lists[i] for i in order])).all()
+    empty = toxicity._ordered(pa.chunked_array([], kind), np.empty(0, np.int64))
+    assert empty.bounds.tolist() == [0] and len(empty.word) == 0
+
+
 def test_texts_are_not_stored_and_only_labelled_ones_are_shuffled(spark, monkeypatch):
     docs, labels = planted(random.Random(10), 4000, ["bad"])
     docs += [(None, "bad"), (-(1 << 63), "bad"), ((1 << 63) - 1, "w1"), (8, "again"), (8, "again")]

@@ -123,16 +123,23 @@ def _kind(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
 
+def _number(n_words: int) -> tuple[type, str]:
+    """The smallest kind of number that counts the words in use, for NumPy and for Spark: all the sample's words come to the driver."""
+    return (np.int16, "smallint") if n_words <= np.iinfo(np.int16).max + 1 else (np.int32, "int")
+
+
 def _with_words(labelled: DataFrame, hashes: np.ndarray) -> DataFrame:
     """``doc_id, own, words, place``: numbers of the words in use instead of texts; copies of a text have one ``place``."""
+    number, name = _number(len(hashes))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            words = pa.array([x.astype(np.int32) for x in _used(part["text"], hashes)], pa.list_(pa.int32()))
+            used = [x.astype(number) for x in _used(part["text"], hashes)]
+            words = pa.array(used, pa.list_(pa.from_numpy_dtype(number)))
             yield pa.record_batch([part["doc_id"], part["own"], words, part["place"]], names=["doc_id", "own", "words", "place"])
 
     placed = labelled.select("doc_id", "own", "text", F.xxhash64("text", "own").alias("place"))
-    return placed.mapInArrow(rows, f"doc_id {_kind(labelled)}, own array<int>, words array<int>, place bigint")
+    return placed.mapInArrow(rows, f"doc_id {_kind(labelled)}, own array<int>, words array<{name}>, place bigint")
 
 
 def _with_rare_words(sample: DataFrame, docs: DataFrame, own: DataFrame, hashes: np.ndarray) -> DataFrame:
@@ -228,13 +235,34 @@ class Incidence(NamedTuple):
 
     def part(self, documents: np.ndarray, words: np.ndarray) -> Incidence:
         """The marked documents with the marked words."""
-        kept, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        sizes = [np.empty(0, np.int64)]
         for own, row, word in self.blocks():
             mine = documents[own]
-            into = mine[row] & words[word]
-            kept.append(word[into])
-            sizes.append(np.bincount(row[into], minlength=len(mine))[mine])
-        return Incidence(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(kept))
+            sizes.append(np.bincount(row[mine[row] & words[word]], minlength=len(mine))[mine])
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        kept, at = np.empty(bounds[-1], self.word.dtype), 0
+        for own, row, word in self.blocks():
+            some = word[documents[own][row] & words[word]]
+            kept[at : at + len(some)] = some
+            at += len(some)
+        return Incidence(bounds, kept)
+
+
+def _ordered(lists: pa.ChunkedArray, order: np.ndarray) -> Incidence:
+    """The lists of words in another order. Beside them only the result is held whole."""
+    chunks = [x for x in lists.chunks if len(x)]
+    sizes = np.concatenate([np.empty(0, np.int64), *[np.diff(x.offsets.to_numpy()) for x in chunks]])
+    bounds = np.concatenate([[0], np.cumsum(sizes[order])])
+    starts = np.empty(len(order), np.int64)
+    starts[order] = bounds[:-1]
+    word, at = np.empty(bounds[-1], lists.type.value_type.to_pandas_dtype()), 0
+    for part in chunks:
+        offsets = part.offsets.to_numpy().astype(np.int64)
+        n = len(part)
+        shift = np.repeat(starts[at : at + n] - (offsets[:-1] - offsets[0]), sizes[at : at + n])
+        word[shift + np.arange(len(shift))] = part.flatten().to_numpy()
+        at += n
+    return Incidence(bounds, word)
 
 
 def _log_odds(model: Linear, used: Incidence, earlier: np.ndarray) -> np.ndarray:
@@ -317,12 +345,13 @@ def train(
     sample = stored(_with_words(_labelled(texts, labels, categories, most), hashes), "sample")
     # Copies of a text are in one fold. The rows of the sample, a few numbers each, come to the driver.
     found = _with_rare_words(sample, texts, _labels(labels, categories), hashes).select("own", "words", "place").toArrow()
-    found = found.sort_by("place").combine_chunks()
-    y = found["own"].combine_chunks().flatten().to_numpy().reshape(-1, len(categories)).astype(np.float64)
-    words = found["words"].combine_chunks()
-    used = Incidence(words.offsets.to_numpy().astype(np.int64), words.flatten().to_numpy())
-    fold = found["place"].to_numpy() % FOLDS
-    del found, words
+    place = found["place"].to_numpy()
+    order = np.argsort(place, kind="stable")
+    y = found["own"].combine_chunks().flatten().to_numpy().reshape(-1, len(categories))[order].astype(np.float64)
+    used = _ordered(found["words"], order)
+    fold = place[order] % FOLDS
+    del found, place, order
+    pa.default_memory_pool().release_unused()  # the driver has the rest of the job before it
 
     models, earlier = [], np.zeros((len(y), 0))
     for c in range(len(categories)):
