@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
     if session.conf.get(CHECKPOINT_DIR, None) is None:
         session.stop()
         session = local_session(cores=8, memory="6g", checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
+    session.conf.set("spark.sql.maxMetadataStringLength", 1000)  # plans name tables whole, wherever temporary folders are
     yield session
     session.stop()
 
